@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "exact_dedup", "mixing")
+MODULES = ("sharding", "exact_dedup", "langid", "mixing")
 
 
 def queries() -> dict:
