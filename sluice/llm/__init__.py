@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "exact_dedup", "langid", "mixing", "ngram_join")
+MODULES = ("sharding", "exact_dedup", "langid", "decontaminate", "mixing", "ngram_join")
 
 
 def queries() -> dict:
