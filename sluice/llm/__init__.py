@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "exact_dedup", "langid", "decontaminate", "mixing", "lm_score", "ngram_join")
+MODULES = ("sharding", "exact_dedup", "warc_zip", "langid", "decontaminate", "mixing", "lm_score", "ngram_join")
 
 
 def queries() -> dict:
