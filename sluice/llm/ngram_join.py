@@ -6,11 +6,13 @@ with equal sets are one class, known by a fingerprint of the set.
 Routing, without loss. Two sets within the threshold t differ in at most
 ``H = (1 - t) / (1 + t) * (|x| + |y|)`` shingles. Sizes fall into intervals
 ``[l, l / t]``; a pair within t lies in one interval or two neighbouring ones.
-For each interval the shingles are dealt by hash into ``H + 1`` segments and
-some spare ones, so at least one non-empty segment is the same on both sides
-(a set with more empty segments than the spare ones also announces those).
-A document announces a hash of each segment. Equal announcements join classes
-into *blocks*; a common passage alone makes no block, because a segment holds
+For each interval the shingles are dealt by hash into somewhat more than
+``H + 1`` segments, and a document announces a hash of each of its fullest
+segments: all with at least q shingles, q being the largest number for which
+these are ``H + 1`` or more. Of any ``H + 1`` segments of one side at least one is
+the same on the other side; taking the side with the larger q, that segment is
+full enough to be announced by both. Equal announcements join classes into
+*blocks*; a common passage alone hardly makes a block, because a segment holds
 several shingles and all must be equal.
 
 Joining. Each block builds a signature tree: leaves hold a bitmap of a class's
@@ -39,7 +41,6 @@ from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_widt
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-SPARE = 4
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,37 +87,43 @@ def size_classes(limit: int, percent: int) -> np.ndarray:
 
 
 def announcements(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of the segments of each set, for its size interval and the next."""
+    """(hash, owner) of the segments that each set announces, for its size interval and the next.
+
+    Tag t stands for pairs of a set in interval t with one in t or t - 1. The lowest bit of a hash tells whether
+    the set is in interval t: pairs without such a member are the business of tag t - 1.
+    """
     live = sizes > 0
     if not live.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = size_classes(int(sizes.max()), percent)
     own = np.searchsorted(ends, sizes, side="right") - 1
-    # The tag t stands for pairs with sizes in intervals t - 1 and t; sizes reach ends[t + 1] - 1.
     tops = np.concatenate((ends[1:] - 1, [ends[-1] * 100 // percent]))
     differ = (2 * tops * (100 - percent)) // (100 + percent)
     doc = np.repeat(np.arange(len(sizes)), sizes)
+    member = mix64(h + _P)
     keys, owners = [], []
     for step in (0, 1):
         tag = own + step
-        segments = differ[tag] + 1 + SPARE
-        base = np.cumsum(segments * live) - segments * live
-        deal = (h >> np.uint64(11)) % segments[doc].astype(np.uint64)
-        slot = base[doc] + deal.astype(np.int64)
-        total = int((segments * live).sum())
+        segments = np.where(live, (differ[tag] + 1) * 13 // 10 + 1, 0)
+        base = np.cumsum(segments) - segments
+        slot = base[doc] + ((h >> np.uint64(11)) % segments[doc].astype(np.uint64)).astype(np.int64)
+        total = int(segments.sum())
         # The hash of a segment is the wrapped sum of its members' hashes: independent of their order.
         order = np.argsort(slot, kind="stable")
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h + _P)[order], dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(member[order], dtype=np.uint64)))
         filled = np.bincount(slot, minlength=total)
         upto = np.cumsum(filled)
         value = sums[upto] - sums[upto - filled]
-        owner = np.repeat(np.flatnonzero(live), segments[live])
+        owner = np.repeat(np.arange(len(sizes)), segments)
         number = np.arange(total) - base[owner]
-        empty = filled == 0
-        many = np.bincount(owner[empty], minlength=len(sizes)) > SPARE
-        say = ~empty | many[owner]
+        # The fullest segments, all those with at least as many members as number H + 1 from the top.
+        rank = np.lexsort((-filled, owner))
+        least = np.zeros(len(sizes), np.int64)
+        least[live] = filled[rank][(base + np.minimum(differ[tag], segments - 1))[live]]
+        say = filled >= least[owner]
         name = mix64((tag[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
-        keys.append(mix64(value + name)[say])
+        role = np.uint64(1 - step)
+        keys.append((mix64(value + name) & ~np.uint64(1) | role)[say])
         owners.append(owner[say])
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -135,7 +142,7 @@ def _announce(k: int, percent: int, parts: int):
 
     def flush(held):
         keys, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        part = (keys % np.uint64(parts)).astype(np.int64)
+        part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         keys, prints, part = keys[order], prints[order], part[order]
         cut = np.searchsorted(part, np.arange(parts + 1))
@@ -145,7 +152,8 @@ def _announce(k: int, percent: int, parts: int):
                 blobs = []
                 for p in some:
                     which, where = np.unique(prints[cut[p] : cut[p + 1]], return_inverse=True)
-                    short = (keys[cut[p] : cut[p + 1]] // np.uint64(parts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    own = keys[cut[p] : cut[p + 1]]
+                    short = (((own >> np.uint64(1)) // np.uint64(parts) << np.uint64(1) | own & np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     blobs.append((short.tobytes(), which.tobytes(), where.astype(np.uint32).tobytes()))
                 yield packed(some, *zip(*blobs, strict=True))
 
@@ -195,9 +203,12 @@ def _meet(batches):
     keys, prints = np.concatenate(keys), np.concatenate(prints)
     order = np.argsort(keys, kind="stable")
     keys, prints = keys[order], prints[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    least = np.repeat(np.minimum.reduceat(prints, head), np.diff(np.append(head, len(keys))))
-    differ = prints != least
+    names = keys >> np.uint64(1)
+    head = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    each = np.diff(np.append(head, len(keys)))
+    least = np.repeat(np.minimum.reduceat(prints, head), each)
+    upper = np.repeat(np.maximum.reduceat(keys & np.uint64(1), head), each)
+    differ = (prints != least) & (upper > 0)
     edges = np.unique(np.stack((prints[differ], least[differ]), axis=1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
     for at in range(0, len(edges), 100_000):
         e = edges[at : at + 100_000]
