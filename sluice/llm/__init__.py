@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("html_text", "sharding", "exact_dedup", "warc_zip", "langid", "decontaminate", "mixing", "lm_score", "ngram_join")
+MODULES = ("pii", "html_text", "sharding", "exact_dedup", "warc_zip", "langid", "decontaminate", "mixing", "lm_score", "ngram_join")
 
 
 def queries() -> dict:
