@@ -211,7 +211,7 @@ def identify(
     lang_col: str = "lang",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score, and the columns named in ``keep``.
+    """One row per input row: doc_id, held_out, lang_pred, score, and those named in ``keep``, as keep_<name>.
 
     ``train_where`` tells the rows to learn from; by default all but a quarter, by the crc32 of the id as text.
     """
@@ -224,8 +224,19 @@ def identify(
     schema = ", ".join(
         ["doc_id long, held_out boolean, lang_pred string, score double", *(f"`keep_{c}` {df.schema[c].dataType.simpleString()}" for c in keep)]
     )
-    found = rows.mapInArrow(_predict_batches(sent), schema)
-    return found.withColumnsRenamed({f"keep_{c}": c for c in keep})
+    return rows.mapInArrow(_predict_batches(sent), schema)
+
+
+def keep_identified(df: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose language is found with at least ``min_score``.
+
+    Texts without letters are rejected. With no labelled row there is no model and nothing else is rejected.
+    """
+    if df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).isEmpty():
+        return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    found = identify(df, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=tuple(df.columns))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return kept.select(*[F.col(f"keep_{c}").alias(c) for c in df.columns])
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -59,33 +59,27 @@ def _hash48(col):
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def mix_sources(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3),
-    cap: int = 3,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, and the columns named in ``keep``."""
+def _skey(source_col: str):
+    """Sorts as the source does by code point, with null last."""
     source = F.col(source_col).cast("string")
-    rows = materialize(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            _hash48(F.col(id_col)).alias("h"),
-            *[F.col(c).alias(f"keep_{c}") for c in keep],
-        ),
-        "mix-rows",
-    )
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def _few(plan: DataFrame):
+    return F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
+
+
+def mix_bounds(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """From (skey, size, h) per document: a row per source, (skey, source_size, target, base, edge).
+
+    A document is taken ``base`` times, and once more if its hash is under ``edge``.
+    """
     sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("base", whole)
     plan = materialize(plan.withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "mix-plan")
-    side = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
+    side = _few(plan)
 
     # (skey, prefix, before): the bucket in which the budget runs out, and the words under it.
     edge = plan.select("skey", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
@@ -110,18 +104,47 @@ def mix_sources(
             ),
             "mix-edge",
         )
+    return plan.join(edge.select("skey", F.when(F.col("budget") > 0, F.col("prefix")).otherwise(0).alias("edge")), "skey").drop("budget")
 
-    bounds = plan.join(edge.select("skey", F.col("prefix").alias("edge")), "skey")
-    return rows.join(side(bounds), "skey").select(
-        F.col("id").alias("doc_id"),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("base") + F.when((F.col("budget") > 0) & (F.col("h") < F.col("edge")), 1).otherwise(0))).alias("taken"),
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
+
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(
+        df.select(
+            F.col(id_col).alias("id"),
+            _skey(source_col).alias("skey"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _hash48(F.col(id_col)).alias("h"),
+        ),
+        "mix-rows",
+    )
+
+
+def _times():
+    return F.col("base") + F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
+) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken."""
+    rows = _sized(df, id_col, text_col, source_col)
+    bounds = mix_bounds(rows, weights, cap)
+    return rows.join(_few(bounds)(bounds), "skey").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * _times()).alias("taken")
     )
 
 
+def take_mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, as often as the mix takes them."""
+    bounds = mix_bounds(_sized(df, id_col, text_col, source_col), weights, cap)
+    names = {c: f"mixed_{k}" for k, c in enumerate(df.columns)}  # any column of the input may share a name with ours
+    marked = df.select(*[F.col(c).alias(n) for c, n in names.items()], _skey(source_col).alias("skey"), _hash48(F.col(id_col)).alias("h"))
+    taken = marked.join(_few(bounds)(bounds), "skey").withColumn("copy", F.explode(F.array_repeat(F.lit(0), _times().cast("int"))))
+    return taken.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 

@@ -418,6 +418,29 @@ def ngram_join(
     )
 
 
+#: Up to so many ids of dropped rows (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, with all their columns, but for near copies: of each component the row with the least id stays.
+
+    Rows that repeat both id and text leave one; rows with null ids stay unless a member of their component has an id.
+    """
+    found = ngram_join(df, id_col, text_col, k, percent)
+    found = materialize(found.select("doc_id", "component_id"), "near-components")
+    keys = F.col(id_col).cast("long")
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = materialize(dropped, "near-dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    kept = df.join(F.broadcast(dropped) if few else dropped, keys.eqNullSafe(F.col("dropped_id")), "left_anti")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "near-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, keys == F.col("again"), "left_anti")
+    return once.unionByName(kept.join(repeated, keys == F.col("again"), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
