@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import micros
 
 def _sequence(df: DataFrame, order: list, keys: list[str]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -55,8 +56,7 @@ def length_by_count_slide_by_time(df: DataFrame, length: int, slide_us: int, ts:
     Fires once per slide boundary from the first row's on; each firing looks rows up by rank, not by a range join.
     """
     keys = keys or []
-    us = F.unix_micros(F.col(ts))
-    rows = _sequence(df.withColumn("__us", us), ["__us", *order], keys)
+    rows = _sequence(df.withColumn("__us", micros(df, ts)), ["__us", *order], keys)
     end = (F.ceil(F.col("__us") / slide_us) * slide_us).cast("long")
     by_end = rows.groupBy(*keys, end.alias("end")).agg(F.max("__rn").alias("upto"))
     span = Window.partitionBy(*keys).orderBy("end")
@@ -71,7 +71,7 @@ def length_by_count_slide_by_time(df: DataFrame, length: int, slide_us: int, ts:
 def length_by_time_slide_by_count(df: DataFrame, length_us: int, slide: int, ts: str, order: list[str], measures: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
     """At every ``slide``-th row in event-time order, the rows less than ``length_us`` before it, itself included."""
     keys = keys or []
-    rows = _sequence(df.withColumn("__us", F.unix_micros(F.col(ts))), [ts, *order], keys)
+    rows = _sequence(df.withColumn("__us", micros(df, ts)), [ts, *order], keys)
     frame = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-(length_us - 1), 0)
     # Rows that tie with the one that fires but come after it are not yet in the window, so members go by rank.
     marked = rows.withColumn("__first", F.min("__rn").over(frame)).where(F.col("__rn") % slide == 0)
@@ -82,8 +82,8 @@ def length_by_time_slide_by_count(df: DataFrame, length_us: int, slide: int, ts:
 def late_rows(df: DataFrame, ts: str, order: str, lag_us: int, keys: list[str] | None = None, name: str = "is_late") -> DataFrame:
     """Whether each row, in arrival order, came behind the watermark: the greatest earlier timestamp minus the lag."""
     before = Window.partitionBy(*(keys or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(F.unix_micros(F.col(ts))).over(before) - lag_us
-    return df.withColumn(name, F.coalesce(F.unix_micros(F.col(ts)) < mark, F.lit(False)))
+    mark = F.max(micros(df, ts)).over(before) - lag_us
+    return df.withColumn(name, F.coalesce(micros(df, ts) < mark, F.lit(False)))
 
 
 def expired_rows(df: DataFrame, length: int, slide: int, order: list, value: str, keys: list[str] | None = None) -> DataFrame:

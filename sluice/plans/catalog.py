@@ -19,8 +19,11 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import queries as _all  # noqa: F401  registers
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def custom(spark: SparkSession, name: str, partitions: int, rows: Callable[[int], Iterator[tuple]], schema: str) -> DataFrame:
+def custom(spark: SparkSession, name: str, partitions: int, rows: Callable[[int], Iterator[tuple]], columns: str) -> DataFrame:
     """A frame whose partition i holds the tuples of ``rows(i)``."""
 
     class Reader(DataSourceReader):
@@ -26,9 +26,9 @@ def custom(spark: SparkSession, name: str, partitions: int, rows: Callable[[int]
             return name
 
         def schema(self):
-            return schema
+            return columns
 
-        def reader(self, _schema):
+        def reader(self, schema):
             return Reader()
 
     spark.dataSource.register(Source)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.time import micros
+
 
 def _ordered(frames, order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
@@ -61,7 +63,7 @@ def count_windows(df: DataFrame, length: int, slide: int | None = None, value: s
 
 def late_rows(df: DataFrame, ts: str, value: str, lag_us: int, seq: str = "seq", key: str | None = None) -> DataFrame:
     """(key, seq, value, us, is_late): a row is late if it is behind the greatest timestamp before it minus the lag."""
-    df, name, kind = _keyed(df.withColumn("__us", F.unix_micros(ts)), key)
+    df, name, kind = _keyed(df.withColumn("__us", micros(df, ts)), key)
 
     def step(k, frames, state):
         top = state.get[0] if state.exists else None
@@ -100,7 +102,7 @@ def watermark(df: DataFrame, ts: str, source: str, sources: list, lag_us: int, s
         state.update((tops, sent))
         yield pd.DataFrame(out, columns=["watermark"])
 
-    rows = df.select(F.lit(0).alias("__all"), source, seq, F.unix_micros(ts).alias("__us"))
+    rows = df.select(F.lit(0).alias("__all"), source, seq, micros(df, ts).alias("__us"))
     return rows.groupBy("__all").applyInPandasWithState(step, "watermark long", "tops array<long>, sent long", "append", GroupStateTimeout.NoTimeout)
 
 
