@@ -13,7 +13,8 @@ def adjacency_text(lines: DataFrame, weighted: bool = False) -> tuple[DataFrame,
     parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.element_at("p", 1) != "")
     rest = parts.select(F.element_at("p", 1).alias("src"), F.slice("p", F.lit(2), F.size("p")).alias("rest"))
     if weighted:
-        pairs = F.transform(F.sequence(F.lit(0), F.size("rest") / 2 - 1), lambda i: F.struct(F.get("rest", (i * 2).cast("int")).alias("dst"), F.get("rest", (i * 2 + 1).cast("int")).cast("int").alias("weight")))
+        pair = lambda i: F.struct(F.get("rest", i * 2).alias("dst"), F.get("rest", i * 2 + 1).cast("int").alias("weight"))
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("rest") / 2 - 1).cast("int")), pair)
         edges = rest.where(F.size("rest") >= 2).select("src", F.inline(pairs))
     else:
         edges = rest.select("src", F.explode("rest").alias("dst"), F.lit(1).alias("weight"))
