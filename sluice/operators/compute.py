@@ -68,3 +68,17 @@ def for_each(df: DataFrame, fn) -> None:
 def lazy_for_each(df: DataFrame, fn) -> Callable[[], None]:
     """The plan with its function, to be run by calling the result."""
     return lambda: df.foreach(fn)
+
+
+def task_context() -> dict:
+    """Inside a function that runs in a task: its partition, attempt and stage."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get()
+    return {} if at is None else {"partition": at.partitionId(), "attempt": at.attemptNumber(), "stage": at.stageId(), "resources": at.resources()}
+
+
+def multi_output(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tags: list[str], tag: str = "tag") -> dict[str, DataFrame]:
+    """One pass with several outputs: ``fn`` names each row's output in column ``tag``; the frames share a cached result."""
+    out = map_pandas(df, fn, schema).persist()
+    return {name: out.where(F.col(tag) == name).drop(tag) for name in tags}

@@ -143,3 +143,82 @@ def rounds(df: DataFrame, source: str, sources: list, value: str, seq: str = "se
 def custom(df: DataFrame, keys: list[str], step, out_schema, state_schema, mode: str = "append", timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
     """A window or operator of the user's own: ``step(key, frames, state)`` yields frames."""
     return df.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, mode, timeout)
+
+
+def event_windows(
+    df: DataFrame,
+    ts: str,
+    value: str,
+    lag_us: int = 0,
+    length: int | None = None,
+    length_us: int | None = None,
+    slide: int | None = None,
+    slide_us: int | None = None,
+    seq: str = "seq",
+    key: str | None = None,
+) -> DataFrame:
+    """Event-time windows by any mix of policies: (key, kind, at, values).
+
+    The window's length is a number of rows or a time, and so is the slide between firings. The watermark is the
+    key's greatest timestamp minus the lag. Rows behind it when they arrive come out at once with kind ``late``; the
+    others wait until the watermark reaches them and are handled in order of (timestamp, ``seq``):
+
+    * a time slide fires at its multiples up to the watermark, ``at`` being that end, with the rows in ``(end -
+      length_us, end]``, where empty windows are skipped, or with the last ``length`` rows up to the end;
+    * a row slide fires at every ``slide``-th row, ``at`` being the number of the firing, with the last ``length``
+      rows, or those after the row's time minus ``length_us``.
+    """
+    if (length is None) == (length_us is None) or (slide is None) == (slide_us is None):
+        raise ValueError("name one length and one slide, each as rows or as a time")
+    df, name, kind = _keyed(df.withColumn("__us", micros(df, ts)), key)
+
+    def members(rows, end_us, upto):
+        held = rows[:upto]
+        return held[-length:] if length is not None else [r for r in held if r[0] > end_us - length_us]
+
+    def step(k, frames, state):
+        top, passed, fired, us, order, values = state.get if state.exists else (None, 0, None, [], [], [])
+        rows, out = list(zip(us, order, values, strict=True)), []  # rows[:passed] are behind the watermark
+        mark = None if top is None else top - lag_us
+        for s, v, t in _ordered(frames, [seq])[[seq, value, "__us"]].itertuples(index=False):
+            if mark is not None and t < mark:
+                out.append((k[0], "late", int(t), [float(v)]))
+            else:
+                rows.append((int(t), int(s), float(v)))
+                top = int(t) if top is None else max(top, int(t))
+                mark = top - lag_us
+        rows = rows[:passed] + sorted(rows[passed:])
+        ready = passed + sum(r[0] <= mark for r in rows[passed:]) if mark is not None else passed
+        if slide is not None:
+            seen = fired or 0
+            for i in range(passed, ready):
+                seen += 1
+                if seen % slide == 0:
+                    out.append((k[0], "window", seen // slide, [r[2] for r in members(rows[: i + 1], rows[i][0], i + 1)]))
+            fired, keep_us = seen, rows[ready - 1][0] if ready else None
+        else:
+            if fired is None and rows:
+                fired = -(-rows[0][0] // slide_us) * slide_us - slide_us
+            while rows and fired + slide_us <= mark:
+                fired += slide_us
+                inside = members(rows, fired, sum(r[0] <= fired for r in rows))
+                if inside:
+                    out.append((k[0], "window", fired, [r[2] for r in inside]))
+                elif ready == len(rows):
+                    fired = max(fired, mark // slide_us * slide_us)  # nothing is left to fall into later windows
+            keep_us = fired
+        need = max(0, ready - length) if length is not None else sum(keep_us is not None and r[0] <= keep_us - length_us for r in rows[:ready])
+        if slide_us is not None and length is not None:
+            need = max(0, sum(r[0] <= (fired if fired is not None else r[0] - 1) for r in rows) - length)
+        rows = rows[need:]
+        state.update((top, ready - need, fired, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        yield pd.DataFrame(out, columns=[name, "kind", "at", "values"])
+
+    out = df.select(name, value, F.col(seq).alias(seq), "__us").groupBy(name).applyInPandasWithState(
+        step,
+        f"`{name}` {kind}, kind string, at long, values array<double>",
+        "top long, passed long, fired long, us array<long>, seq array<long>, v array<double>",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    return out if key is not None else out.drop(name)

@@ -100,3 +100,50 @@ def test_batches_reach_a_function(spark, tmp_path):
     feed.add([(1,), (2,)])
     flows.for_each_batch(feed.stream(), lambda b, _i: seen.append(b.count()), f"{tmp_path}/s").awaitTermination()
     assert sum(seen) == 2
+
+
+EVENTS = [603, 605, 607, 618, 626, 636]
+LATER = [825, 826, 827, 839]
+
+
+def windows_of(feed, parts, **policy):
+    """Add batches of (ms, seq), with a lag that puts the watermark where each batch says; all firings in order."""
+    n = 0
+    for stamps in parts:
+        feed.add([(ms, float(n + i), n + i) for i, ms in enumerate(stamps)])
+        n += len(stamps)
+        got = feed.drain(stateful.event_windows(feed.stream().withColumn("ts", F.timestamp_millis("ms")), "ts", "value", lag_us=5_000, **policy))
+    return sorted((at, [int(v) for v in vs]) for kind, at, vs in got if kind == "window"), [int(vs[0]) for kind, _, vs in got if kind == "late"]
+
+
+def test_event_time_policy(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "ms long, value double, seq long")
+    got, late = windows_of(feed, [EVENTS, LATER], length_us=20_000, slide_us=10_000)
+    assert [(at // 1000, m) for at, m in got] == [
+        (610, [0, 1, 2]), (620, [0, 1, 2, 3]), (630, [3, 4]), (640, [4, 5]), (650, [5]), (830, [6, 7, 8]),
+    ]
+    assert late == []
+
+
+def test_count_length_time_slide(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "ms long, value double, seq long")
+    got, _ = windows_of(feed, [EVENTS, [665, 666, 667, 679]], length=3, slide_us=10_000)
+    assert [m for _, m in got] == [[0, 1, 2], [1, 2, 3], [2, 3, 4], [3, 4, 5], [3, 4, 5], [3, 4, 5], [6, 7, 8]]
+
+
+def test_time_length_count_slide(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "ms long, value double, seq long")
+    got, _ = windows_of(feed, [[603, 605, 607, 618], [625, 626, 629, 636]], length_us=20_000, slide=3)
+    assert got == [(1, [0, 1, 2]), (2, [2, 3, 4, 5])]
+
+
+def test_event_count_windows_with_ties(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "ms long, value double, seq long")
+    got, late = windows_of(feed, [[10, 10, 11, 12, 12], [12, 12, 13, 14, 15], [25], [3]], length=5, slide=2)
+    assert [(m[0], m[-1]) for _, m in got] == [(0, 1), (0, 3), (1, 5), (3, 7), (5, 9)]
+    assert late == [11]
+
+
+def test_policies_are_named(spark):
+    with pytest.raises(ValueError):
+        stateful.event_windows(spark.range(1), "id", "id", length=1, length_us=1, slide=1)
