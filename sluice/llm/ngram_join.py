@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, table, words
-from .components import connected_components
+from .components import connected_components, edge_batches, forest
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,7 +160,7 @@ def _announce(k: int, percent: int, parts: int):
     def run(batches):
         held, n = [], 0
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 3 << 20):
                 h, sizes = shingle_sets(batch.column(1), k)
                 prints = fingerprints(h, sizes)
                 ids = batch.column(0)
@@ -170,11 +170,12 @@ def _announce(k: int, percent: int, parts: int):
                 keys, owner = announcements(h, sizes, percent)
                 held.append((keys, prints[owner]))
                 n += len(keys)
-                if n > 6_000_000:
+                if n > 1_500_000:
                     yield from flush(held)
                     held, n = [], 0
         if n:
             yield from flush(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -209,10 +210,8 @@ def _meet(batches):
     least = np.repeat(np.minimum.reduceat(prints, head), each)
     upper = np.repeat(np.maximum.reduceat(keys & np.uint64(1), head), each)
     differ = (prints != least) & (upper > 0)
-    edges = np.unique(np.stack((prints[differ], least[differ]), axis=1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-    for at in range(0, len(edges), 100_000):
-        e = edges[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+    # Only the forest of what meets here is sent on: each class once, with the least class it meets by any path.
+    yield from edge_batches(*forest(prints[differ], least[differ]))
 
 
 class SignatureTree:
@@ -374,7 +373,7 @@ def _join_blocks(k: int, percent: int):
 
 
 def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 1_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
     spark = df.sparkSession
@@ -387,16 +386,25 @@ def ngram_join(
     said = packed.where("part >= 0").repartitionById(parts, F.col("part"))
     blocks = connected_components(said.mapInArrow(_meet, "a long, b long"))
 
-    # Chunks of a block by size; most blocks have one.
+    # Chunks of a block by size; most blocks have one. Sizes, not members, are put in order: a size that alone exceeds
+    # a chunk is split by hash.
     classes = sets.where("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    members = blocks.join(classes, blocks.node == classes.print).select("label", "print", "id", "n")
-    run = Window.partitionBy("label").orderBy("n", "print").rowsBetween(Window.unboundedPreceding, 0)
-    members = materialize(
-        members.withColumn("chunk", F.floor((F.sum("n").over(run) - F.col("n")) / block_shingles).cast("int")), "join-members"
+    members = materialize(blocks.join(classes, blocks.node == classes.print).select("label", "print", "id", "n"), "join-members")
+    sizes = members.groupBy("label", "n").agg(F.sum("n").alias("all"))
+    upto = Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(
+        F.col("label").alias("block"),
+        F.col("n").alias("size"),
+        F.floor((F.sum("all").over(upto) - F.col("all")) / block_shingles).alias("at"),
+        F.greatest(F.lit(1), F.ceil(F.col("all") / block_shingles)).alias("split"),
     )
+    piece = F.when(F.col("split") > 1, F.concat_ws(".", "at", "size", F.pmod(F.xxhash64("print"), F.col("split"))))
+    members = members.join(sizes, (F.col("label") == F.col("block")) & (F.col("n") == F.col("size")))
+    members = materialize(members.select("label", "print", "id", "n", F.coalesce(piece, F.col("at").cast("string")).alias("chunk")), "join-chunks")
     chunks = members.groupBy("label", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = chunks.select("label", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"))
-    pairs = chunks.join(other, "label").where((F.col("chunk") <= F.col("chunk2")) & (F.col("high") * 100 >= F.col("low2") * percent))
+    ordered = F.struct("low", "chunk") <= F.struct("low2", "chunk2")
+    pairs = chunks.join(other, "label").where(ordered & (F.col("high") * 100 >= F.col("low2") * percent))
     task = F.concat_ws(":", "label", "chunk", "chunk2")
     tasks = pairs.select("label", task.alias("task"), F.explode(F.array_distinct(F.array("chunk", "chunk2"))).alias("chunk"))
     wanted = members.join(tasks, ["label", "chunk"]).select("task", "chunk", "print", "id")
