@@ -237,12 +237,18 @@ class HashTable:
         return ((h >> np.uint64(32)) + np.uint64(probe) * ((h >> np.uint64(8)) | np.uint64(1))) & self.mask
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that are all present."""
+        """Values of keys that are all present; a missing one is an error."""
         slot = self._slot(keys, 0)
+        if not len(self.keys):
+            if len(keys):
+                raise KeyError("a key was not counted")
+            return self.values[:0]
         out = self.values[self.at[slot]]
         miss, probe = np.flatnonzero(self.slots[slot] != keys), 1
         while len(miss):
             slot = self._slot(keys[miss], probe)
+            if (self.at[slot] < 0).any():
+                raise KeyError("a key was not counted")
             out[miss] = self.values[self.at[slot]]
             miss = miss[self.slots[slot] != keys[miss]]
             probe += 1

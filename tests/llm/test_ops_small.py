@@ -493,6 +493,15 @@ def test_html_blocks():
     assert html_text.extract_run(["<p>a < b and c > d &unknown; <3</p>"])[0][0] == "a < b and c > d &unknown; <3"
 
 
+def test_html_places():
+    text = lambda page: html_text.extract_run([page])[0][0]
+    assert text("<main><p>list</p><article><p>story</p></article><p>more</p></main>") == "story"
+    assert text("<div>site</div><main><p>story</p></main>") == "story"
+    assert text("<div>site</div><div class='post-content'><p class=side-by-side>story</div><div class='side'>x</div>") == "story"
+    assert text("<article><p class=ad>buy<p>story<section class='reader-comments'><p>first!</section></article>") == "story"
+    assert text("<article><table><tr><td>a<td>b</table><pre>x\n  y</pre></article>") == "a\nb\nx y"
+
+
 def test_repeats_across_pages_go_without_an_article_mark():
     shared = " ".join(f"s{i}" for i in range(12))
     runs = html_text.extract_run([f"<div>{shared}</div><p>u{i} own text v{i}</p><div>{shared} e{i} end</div>" for i in range(3)])
