@@ -700,3 +700,137 @@ def connected_dataflow(spark, d):
 def svm_train(spark, d):
     rows = t(spark, d, "embeddings").select(F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("label"), F.col("embedding").cast("array<double>").alias("x"))
     return ml.svm_accuracy(rows, ml.train_svm(rows, 0.01, 3))
+
+
+# --- more of the same operators -------------------------------------------------------------------------------------
+
+
+@register("direct_pipe", "SELECT r_regionkey, r_name FROM region")
+def direct_pipe(spark, d):
+    return movement.pipe(movement.direct(t(spark, d, "region")))
+
+
+@register("cache_reuse", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def cache_reuse(spark, d):
+    return sinks.lazy_cache(agg.keyed_reduce(t(spark, d, "nation"), ["n_regionkey"], n=("count", "n_nationkey")))
+
+
+@register("text_complete", "SELECT r_name AS value, CAST(i AS INTEGER) AS task FROM region, (SELECT unnest(range(2)) AS i)")
+def text_complete(spark, d):
+    path = _folder("complete", spark)
+    sinks.write_text(t(spark, d, "region"), path, "r_name")
+    return files.text(spark, path, "complete", 2)
+
+
+@register("generated_source", "SELECT CAST(i AS BIGINT) AS key, CAST(i * i AS BIGINT) AS value FROM (SELECT unnest(range(100)) AS i)")
+def generated_source(spark, d):
+    return files.keyed(files.generated(spark, 100, 4), F.col("id"), F.col("id") * F.col("id"))
+
+
+@register("multi_output", "SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders")
+def multi_output(spark, d):
+    def mark(frame):
+        frame["tag"] = frame["o_orderstatus"].eq("F").map({True: "done", False: "open"})
+        return frame[["o_orderkey", "tag"]]
+
+    out = compute.multi_output(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), mark, "o_orderkey long, tag string", ["done", "open"])
+    return movement.union(out["done"].withColumn("done", F.lit(True)), out["open"].withColumn("done", F.lit(False)))
+
+
+@register("range_partition_sorted", "SELECT true AS sorted FROM range(1)")
+def range_partition_sorted(spark, d):
+    return sorting.is_sorted(movement.range_partition(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", n=5, sort=True), "o_orderkey")
+
+
+@register(
+    "source_rounds",
+    "SELECT CAST(rn - 1 AS BIGINT) AS round, max(v) AS top FROM (SELECT o_custkey % 5 AS s, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rn FROM orders) GROUP BY rn HAVING count(*) = 5",
+)
+def source_rounds(spark, d):
+    rows = t(spark, d, "orders").select((F.col("o_custkey") % 5).alias("s"), F.col("o_orderkey").alias("v"))
+    numbered = movement.source_sequence(rows, "s", "v")
+    return numbered.groupBy(F.col("seq").cast("long").alias("round")).agg(F.max("v").alias("top"), F.count("*").alias("n")).where("n = 5").drop("n")
+
+
+@register("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(spark, d):
+    return sorting.intersect(t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select("s_nationkey"), bag=True)
+
+
+@register("subtract", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+def subtract(spark, d):
+    return sorting.difference(t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), t(spark, d, "supplier").select("s_nationkey"), bag=False)
+
+
+@register("adjacency_text", f"SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(weight AS INTEGER) AS weight FROM {_EDGES}")
+def adjacency_text(spark, d):
+    _, edges = _graph(spark, d)
+    lines = edges.groupBy("src").agg(F.concat_ws(" ", F.first("src"), F.flatten(F.collect_list(F.array("dst", "weight")).cast("array<array<string>>"))).alias("value"))
+    return graph.adjacency_text(lines.select("value"), weighted=True)[1]
+
+
+@register(
+    "vertex_centric_degree",
+    f"SELECT CAST(v.id AS BIGINT) AS id, CAST(count(e.dst) AS BIGINT) AS value FROM (SELECT unnest(range(100)) AS id) v LEFT JOIN {_EDGES} e ON v.id = e.dst GROUP BY v.id",
+)
+def vertex_centric_degree(spark, d):
+    """One round of messages: how many edges arrive at each vertex."""
+    vertices, edges = _graph(spark, d)
+    start = vertices.withColumn("value", F.lit(0).cast("long"))
+    return graph.vertex_centric(start, edges, F.lit(1).cast("long"), F.sum("message"), F.coalesce("incoming", F.lit(0)).cast("long"), 1)
+
+
+@register("stream_union", "SELECT event_id FROM events WHERE event_id % 3 < 2")
+def stream_union(spark, d):
+    stream = _stream(spark, d, ["event_id"])
+    return _drained(spark, movement.union(stream.where("event_id % 3 = 0"), stream.where("event_id % 3 = 1")), "stream-union")
+
+
+@register("stream_replicate", "SELECT event_id, CAST(i AS INTEGER) AS copy FROM events, (SELECT unnest(range(2)) AS i)")
+def stream_replicate(spark, d):
+    return _drained(spark, movement.replicate(_stream(spark, d, ["event_id"]), 2), "stream-replicate")
+
+
+@register("stream_keyed_gather", "SELECT user_id, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM events GROUP BY user_id")
+def stream_keyed_gather(spark, d):
+    out = _drained(spark, flows.keyed_gather(_stream(spark, d, ["user_id", "event_id"]), ["user_id"], "event_id"), "stream-gather", "complete")
+    return out.select("user_id", F.array_join(F.array_sort("values").cast("array<string>"), ",").alias("ids"))
+
+
+@register(
+    "stream_gather_rounds",
+    "SELECT CAST(rn - 1 AS BIGINT) AS round, array_to_string(list(event_id ORDER BY event_id % 3), ',') AS ids FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS rn FROM events) GROUP BY rn HAVING count(*) = 3",
+)
+def stream_gather_rounds(spark, d):
+    stream = _stream(spark, d, [(F.col("event_id") % 3).alias("source"), "event_id"]).withColumn("seq", F.col("event_id"))
+    out = _drained(spark, stateful.rounds(stream, "source", [0, 1, 2], "event_id"), "stream-gather-rounds")
+    return out.select("round", F.array_join(F.col("values").cast("array<bigint>").cast("array<string>"), ",").alias("ids"))
+
+
+@register(
+    "stream_event_time",
+    f"SELECT CAST(ceil(epoch_us(ts) / {_HOUR}.0) AS BIGINT) * {_HOUR} AS window_end, count(*) AS n FROM events GROUP BY 1",
+)
+def stream_event_time(spark, d):
+    stream = _stream(spark, d, ["ts", "value"])
+    out = _drained(spark, flows.event_time_windows(stream, "ts", "1 hour", lateness="1 hour", n=F.count("*")), "stream-time", "complete")
+    return out.select(micros(out, "window_end").alias("window_end"), "n")
+
+
+@register(
+    "stream_event_count",
+    "SELECT user_id, CAST(rn // 3 AS BIGINT) AS window_id, n FROM (SELECT user_id, rn, count(*) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM "
+    "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)) WHERE rn % 3 = 0",
+)
+def stream_event_count(spark, d):
+    stream = _stream(spark, d, ["user_id", "ts", "event_id"]).withColumn("seq", F.col("event_id"))
+    out = _drained(spark, stateful.event_windows(stream, "ts", "event_id", length=5, slide=3, key="user_id"), "stream-count")
+    return out.where("kind = 'window'").select("user_id", F.col("at").alias("window_id"), F.size("values").cast("long").alias("n"))
+
+
+@register(
+    "stream_word_count", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(event_type || ' ' || props, ' ')) AS w FROM events) WHERE w <> '' GROUP BY w"
+)
+def stream_word_count(spark, d):
+    stream = _stream(spark, d, [F.concat_ws(" ", "event_type", "props").alias("value")])
+    return _drained(spark, flows.word_count(stream), "stream-words", "complete")

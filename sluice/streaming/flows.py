@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.time import micros
+
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     """A stream of the files of a folder or glob."""
@@ -60,7 +62,8 @@ def event_time_windows(df: DataFrame, ts: str, length: str, slide: str | None =
     Spark drops a row only once its windows are closed, so a row behind the watermark may still count where a window is
     open; ``stateful.late_rows`` is the strict rule.
     """
-    shifted = df.withColumn("__ts", F.col(ts) - F.expr("INTERVAL 1 MICROSECOND")).withWatermark("__ts", lateness)
+    # Watermarks need timestamps with a zone; times without one are taken as UTC.
+    shifted = df.withColumn("__ts", F.timestamp_micros(micros(df, ts) - 1)).withWatermark("__ts", lateness)
     grouped = shifted.groupBy(*(keys or []), F.window("__ts", length, slide or length).alias("__w"))
     return grouped.agg(*[c.alias(n) for n, c in aggregates.items()]).select(*(keys or []), F.col("__w.end").alias("window_end"), *aggregates)
 
