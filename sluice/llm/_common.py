@@ -34,10 +34,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process, once no result that reads them is needed; returns their number.
+
+    They can't go by themselves: a lazy result reads them whenever it runs, also again after an executor is lost.
+    """
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: a restart point for lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: int, limit: int = 3 << 20):
     """Cut a batch into runs of rows whose text in ``column`` has about ``limit`` bytes; a longer row stands alone.
 
     Keeps a Python worker's memory in proportion to ``limit`` and the longest single text.

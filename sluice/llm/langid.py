@@ -99,8 +99,9 @@ def _count_grams(batches):
                 used = often > 0
                 parts = sums.setdefault(lang, [])
                 parts.append(merged([(grams[used], often[used])]))
-                if len(parts) > 8:
+                if len(parts) > 5:
                     sums[lang] = [merged(parts)]
+    pa.default_memory_pool().release_unused()
     for lang, parts in sums.items():
         keys, n = merged(parts)
         for at in range(0, len(keys), 50_000):
