@@ -11,9 +11,10 @@ For each interval the shingles are dealt by hash into somewhat more than
 segments: all with at least q shingles, q being the largest number for which
 these are ``H + 1`` or more. Of any ``H + 1`` segments of one side at least one is
 the same on the other side; taking the side with the larger q, that segment is
-full enough to be announced by both. Equal announcements join classes into
-*blocks*; a common passage alone hardly makes a block, because a segment holds
-several shingles and all must be equal.
+full enough to be announced by both. Where classes announce the same they *meet*;
+a common passage alone seldom makes a meeting, because a segment holds several
+shingles and all must be equal. In each meeting a signature tree of the members'
+bitmaps tells which pairs could be linked; these pairs join classes into *blocks*.
 
 Joining. Each block builds a signature tree: leaves hold a bitmap of a class's
 shingles and its size, inner nodes the OR of the bitmaps and the size range. A
@@ -128,17 +129,34 @@ def announcements(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
-_PACKED = "part int, ids binary, prints binary, sizes binary"
+def bit_width(sizes: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two from its size on, 64 to 32768."""
+    return 1 << np.ceil(np.log2(np.clip(sizes, 64, 1 << 15))).astype(np.int64)
+
+
+def bitmaps(h: np.ndarray, sizes: np.ndarray, width: np.ndarray | None = None) -> list[bytes]:
+    """The OR of one bit per shingle, for each set; of two widths the narrower is the wider one folded in halves."""
+    width = bit_width(sizes) if width is None else width
+    at = np.cumsum(width // 64) - width // 64
+    words_ = np.zeros(int((width // 64).sum()), dtype=np.uint64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (h >> np.uint64(20)) & (width[doc] - 1).astype(np.uint64)
+    # Low bits choose the bit, so masking off the top halves of the position folds.
+    np.bitwise_or.at(words_, at[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [words_[a : a + w].tobytes() for a, w in zip(at.tolist(), (width // 64).tolist(), strict=True)]
+
+
+_PACKED = "part int, ids binary, prints binary, sizes binary, maps array<binary>"
 
 
 def _announce(k: int, percent: int, parts: int):
     """(id, text) in. Rows of part -1: ids, validity and fingerprints; others: announcements packed by part."""
 
-    def packed(part, a, b, c):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())],
-            names=["part", "ids", "prints", "sizes"],
-        )
+    def packed(part, a, b, c, maps=None):
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+        columns = (part, a, b, c, maps or [None] * len(part))
+        names = ["part", "ids", "prints", "sizes", "maps"]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     def flush(held):
         keys, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
@@ -166,7 +184,7 @@ def _announce(k: int, percent: int, parts: int):
                 ids = batch.column(0)
                 blank = np.packbits(ids.is_null().to_numpy(zero_copy_only=False))
                 known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield packed([-1], [known.tobytes() + blank.tobytes()], [prints.tobytes()], [sizes.astype(np.int64).tobytes()])
+                yield packed([-1], [known.tobytes() + blank.tobytes()], [prints.tobytes()], [sizes.astype(np.int64).tobytes()], [bitmaps(h, sizes)])
                 keys, owner = announcements(h, sizes, percent)
                 held.append((keys, prints[owner]))
                 n += len(keys)
@@ -182,18 +200,22 @@ def _announce(k: int, percent: int, parts: int):
 
 def _unpack_sets(batches):
     for batch in batches:
-        for ids, prints, sizes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for ids, prints, sizes, maps in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             f = np.frombuffer(prints, np.int64)
             n = len(f)
             known = np.frombuffer(ids[: 8 * n], np.int64)
             blank = np.unpackbits(np.frombuffer(ids[8 * n :], np.uint8))[:n].astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(known, mask=blank), pa.array(f), pa.array(np.frombuffer(sizes, np.int64))], names=["id", "print", "n"]
+                [pa.array(known, mask=blank), pa.array(f), pa.array(np.frombuffer(sizes, np.int64)), pa.array(maps, pa.binary())],
+                names=["id", "print", "n", "map"],
             )
 
 
 def _meet(batches):
-    """Packed announcements of some parts in; edges from each class to the least class of an equal announcement out."""
+    """Packed announcements of some parts in; (meeting, print) of classes that announce the same out.
+
+    A meeting is named by its members, so a family that meets in many segments alike is one meeting.
+    """
     keys, prints = [], []
     for batch in batches:
         for part, short, which, where in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -202,32 +224,114 @@ def _meet(batches):
     if not keys:
         return
     keys, prints = np.concatenate(keys), np.concatenate(prints)
-    order = np.argsort(keys, kind="stable")
-    keys, prints = keys[order], prints[order]
     names = keys >> np.uint64(1)
+    order = np.argsort(names, kind="stable")
+    names, keys, prints = names[order], keys[order], prints[order]
+    many = np.zeros(len(names), bool)
+    many[1:] = names[1:] == names[:-1]
+    many[:-1] |= many[1:]
+    names, keys, prints = names[many], keys[many], prints[many]  # most announcements meet nobody
+    order = np.lexsort((prints, names))
+    names, keys, prints = names[order], keys[order], prints[order]
+    if not len(names):
+        return
+    new = np.concatenate(([True], (names[1:] != names[:-1]) | (prints[1:] != prints[:-1])))
+    role = np.maximum.reduceat(keys & np.uint64(1), np.flatnonzero(new))
+    names, prints = names[new], prints[new]
     head = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-    each = np.diff(np.append(head, len(keys)))
-    least = np.repeat(np.minimum.reduceat(prints, head), each)
-    upper = np.repeat(np.maximum.reduceat(keys & np.uint64(1), head), each)
-    differ = (prints != least) & (upper > 0)
-    # Only the forest of what meets here is sent on: each class once, with the least class it meets by any path.
-    yield from edge_batches(*forest(prints[differ], least[differ]))
+    each = np.diff(np.append(head, len(names)))
+    good = np.repeat((each > 1) & (np.maximum.reduceat(role, head) > 0), each)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(prints.view(np.uint64)), dtype=np.uint64)))
+    meeting = np.repeat(mix64(sums[head + each] - sums[head] + each.astype(np.uint64)), each).view(np.int64)
+    pairs = np.unique(np.stack((meeting[good], prints[good]), axis=1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
+    for at in range(0, len(pairs), 100_000):
+        p = pairs[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["meeting", "print"])
+
+
+def _fold(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps at the narrowest width among them."""
+    width = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
+
+
+def _near_in_meetings(percent: int):
+    """Rows (meeting, print, n, map), sorted by meeting, in; (a, b) of classes that their bitmaps let be linked out.
+
+    Of each meeting only a spanning forest of such pairs: enough to keep every linked pair in one block.
+    """
+
+    def finish(small, big):
+        a, b = [], []
+        for prints, sizes, maps in big:
+            tree = SignatureTree(_fold(maps), np.array(sizes))
+            order, joined = tree.order, forest_of_possible(tree, percent)
+            a += [prints[order[i]] for i, _ in joined]
+            b += [prints[order[j]] for _, j in joined]
+        by_width: dict[int, list] = {}
+        for prints, sizes, maps in small:
+            folded = _fold(maps)
+            by_width.setdefault(folded.shape[1], []).append((prints, sizes, folded))
+        for groups in by_width.values():
+            maps = np.concatenate([g[2] for g in groups])
+            sizes, prints = np.concatenate([g[1] for g in groups]), np.concatenate([g[0] for g in groups])
+            ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+            x, y, base = [], [], 0
+            for g in groups:
+                i, j = np.triu_indices(len(g[0]), 1)
+                x.append(i + base)
+                y.append(j + base)
+                base += len(g[0])
+            x, y = np.concatenate(x), np.concatenate(y)
+            for at in range(0, len(x), 1 << 14):
+                i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                common = np.bitwise_count(maps[i] & maps[j]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(sizes[i] - ones[i] + common, sizes[j] - ones[j] + common)
+                ok = 100 * most >= percent * np.maximum(sizes[i] + sizes[j] - most, most)
+                a += prints[i[ok]].tolist()
+                b += prints[j[ok]].tolist()
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def run(batches):
+        small, big, rows, current, held = [], [], [], None, 0
+
+        def close():
+            if len(rows) > 1:
+                group = ([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
+                (small if len(rows) <= 16 else big).append(group)
+
+        for batch in batches:
+            for meeting, print_, n, map_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if meeting != current:
+                    close()
+                    current, rows = meeting, []
+                    if held > 16 << 20:
+                        yield from edge_batches(*forest(*finish(small, big)))
+                        small, big, held = [], [], 0
+                rows.append((print_, n, map_))
+                held += len(map_)
+        close()
+        if small or big:
+            yield from edge_batches(*forest(*finish(small, big)))
+
+    return run
 
 
 class SignatureTree:
-    """Levels of nodes, leaf level first; each node has an OR bitmap, size range, least bit count and its children."""
+    """Levels of nodes, leaf level first; each node has an OR bitmap, size range, least bit count and its children.
+
+    Leaves stand in ``order``: by size within the least bit set, so that alike sets are near each other.
+    """
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        bits = 1 << int(np.clip(int(self.sizes.max()) * 2, 64, 1 << 14) - 1).bit_length()
-        maps = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        for row, s in zip(maps, sets, strict=True):
-            b = (s >> np.uint64(20)) & np.uint64(bits - 1)
-            np.bitwise_or.at(row, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None):
+        if order is None:
+            order = np.lexsort((sizes, *maps.T[: min(4, maps.shape[1])]))
+        self.order = order
+        maps, sizes = maps[order], sizes[order].astype(np.int64)
         ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, self.sizes, self.sizes, ones)]
+        self.levels = [(maps, sizes, sizes, ones)]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, ones = self.levels[-1]
             cut = np.arange(0, len(maps), self.FAN)
@@ -239,7 +343,7 @@ class SignatureTree:
         """Whether some pair below the node pairs could reach the threshold."""
         maps, low, high, ones = self.levels[level]
         out = np.zeros(len(a), bool)
-        step = max(1, (1 << 21) // maps.shape[1])
+        step = max(1, (1 << 20) // maps.shape[1])
         for at in range(0, len(a), step):
             x, y = a[at : at + step], b[at : at + step]
             common = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64)
@@ -248,75 +352,63 @@ class SignatureTree:
         return out
 
 
-def links(sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of all links: edges (i, j) that each join two parts not joined before.
+class Union:
+    """Union-find over n members."""
 
-    With ``left`` > 0 the first ``left`` sets are one chunk and the rest another, and only links across count.
-    """
-    n = len(sets)
-    order = np.lexsort((np.array([s[0] for s in sets]), np.array([len(s) for s in sets])))
-    if n > 2:  # neighbours in the tree should be alike: sort by the least hash, then by size
-        order = np.lexsort((np.array([len(s) for s in sets]), np.array([s[0] for s in sets])))
-    sets = [sets[i] for i in order]
-    parent, forest = list(range(n)), []
-    side = order < left
-
-    def root(i):
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    def verify(i, j):
-        if left and side[i] == side[j]:
-            return
-        a, b = root(i), root(j)
-        if a == b:
-            return
-        x, y = sets[i], sets[j]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            parent[max(a, b)] = min(a, b)
-            forest.append((int(order[i]), int(order[j])))
-
-    for i in range(n - 1):
-        verify(i, i + 1)
-    if n == 2:
-        return forest
-    tree = SignatureTree(sets)
-    verify_from = 0
-    if n > 16:  # join what is near a few members first, so that the traversal meets whole nodes that are linked already
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def dual_traversal(tree: SignatureTree, percent: int, union: Union, meet) -> None:
+    """Call ``meet(i, j)`` for pairs of leaves i < j that could be linked and are not in one part yet.
+
+    Neighbours and a few members against all come first, so that the traversal meets whole nodes in one part and skips
+    them.
+    """
+    n = len(tree.levels[0][0])
+    every = np.arange(n)
+    near = np.flatnonzero(tree.possible(0, every[:-1], every[1:], percent))
+    for i in near.tolist():
+        meet(i, i + 1)
+    if n <= 2:
+        return
+    if n > 16:
         for centre in sorted({int(x) for x in np.linspace(0, n - 1, 4)}):
-            near = np.flatnonzero(tree.possible(0, np.full(n, centre), np.arange(n), percent))
-            for j in near.tolist():
-                verify(centre, j)
-    # Dual traversal, one level at a time, of pairs (a, b) with a <= b.
-    top = len(tree.levels) - 1
-    label = [np.array([root(i) for i in range(n)])]
+            for j in np.flatnonzero(tree.possible(0, np.full(n, centre), every, percent)).tolist():
+                if j != centre and union.root(j) != union.root(centre):
+                    meet(min(centre, j), max(centre, j))
+    top, fan = len(tree.levels) - 1, SignatureTree.FAN
+    label = [np.array([union.root(i) for i in range(n)])]
     for _ in range(top):
-        cut = np.arange(0, len(label[-1]), SignatureTree.FAN)
+        cut = np.arange(0, len(label[-1]), fan)
         low, high = np.minimum.reduceat(label[-1], cut), np.maximum.reduceat(label[-1], cut)
-        under = np.minimum.reduceat(label[-1], cut) < 0
-        label.append(np.where((low == high) & ~under, low, -1))
-
-    def unjoined(level, a, b):
-        one = label[level]
-        return ~((one[a] >= 0) & (one[a] == one[b]))
+        label.append(np.where((low == high) & (low >= 0), low, -1))
 
     def descend(level, a, b):
-        stay = unjoined(level, a, b)
-        a, b = a[stay], b[stay]
+        one = label[level]
+        apart = ~((one[a] >= 0) & (one[a] == one[b]))
+        a, b = a[apart], b[apart]
         if not len(a):
             return
         stay = tree.possible(level, a, b, percent)
         a, b = a[stay], b[stay]
         if level == 0:
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                if i != j:
-                    verify(i, j)
+                if i != j and union.root(i) != union.root(j):
+                    meet(i, j)
             return
         below = len(tree.levels[level - 1][0])
-        fan = SignatureTree.FAN
         for at in range(0, len(a), 4096):
             x = (a[at : at + 4096, None, None] * fan + np.arange(fan)[None, :, None]).repeat(fan, axis=2).reshape(-1)
             y = (b[at : at + 4096, None, None] * fan + np.arange(fan)[None, None, :]).repeat(fan, axis=1).reshape(-1)
@@ -324,7 +416,44 @@ def links(sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int
             descend(level - 1, x[ok], y[ok])
 
     descend(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
-    return forest
+
+
+def forest_of_possible(tree: SignatureTree, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, in leaf positions, of the pairs that their bitmaps and sizes let be linked."""
+    union, found = Union(len(tree.order)), []
+
+    def meet(i, j):
+        if union.root(i) != union.root(j):
+            union.join(i, j)
+            found.append((i, j))
+
+    dual_traversal(tree, percent, union, meet)
+    return found
+
+
+def links(sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of all links: edges (i, j) that each join two parts not joined before.
+
+    With ``left`` > 0 the first ``left`` sets are one chunk and the rest another, and only links across count.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    maps = bitmaps(np.concatenate(sets), sizes, np.full(len(sizes), bit_width(sizes.max(keepdims=True))[0]))
+    order = np.lexsort((sizes, np.array([s[0] for s in sets])))
+    tree = SignatureTree(np.stack([np.frombuffer(m, np.uint64) for m in maps]), sizes, order)
+    union, found = Union(len(sets)), []
+
+    def meet(a, b):
+        i, j = int(order[a]), int(order[b])
+        if (left and (i < left) == (j < left)) or union.root(a) == union.root(b):
+            return
+        x, y = sets[i], sets[j]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            union.join(a, b)
+            found.append((i, j))
+
+    dual_traversal(tree, percent, union, meet)
+    return found
 
 
 def _join_blocks(k: int, percent: int):
@@ -373,7 +502,7 @@ def _join_blocks(k: int, percent: int):
 
 
 def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000, meeting_classes: int = 50_000
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
     spark = df.sparkSession
@@ -381,10 +510,21 @@ def ngram_join(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = materialize(rows.mapInArrow(_announce(k, percent, parts), _PACKED), "join-packed")
     sets = materialize(
-        packed.where("part = -1").select("ids", "prints", "sizes").mapInArrow(_unpack_sets, "id long, print long, n long"), "join-sets"
+        packed.where("part = -1").select("ids", "prints", "sizes", "maps").mapInArrow(_unpack_sets, "id long, print long, n long, map binary"),
+        "join-sets",
     )
-    said = packed.where("part >= 0").repartitionById(parts, F.col("part"))
-    blocks = connected_components(said.mapInArrow(_meet, "a long, b long"))
+    said = packed.where("part >= 0").select("part", "ids", "prints", "sizes").repartitionById(parts, F.col("part"))
+    met = materialize(said.mapInArrow(_meet, "meeting long, print long").distinct(), "join-met")
+
+    # Bitmaps tell in each meeting who can be linked at all. A meeting too large for a task keeps all its members.
+    maps = sets.where("n > 0").groupBy("print").agg(F.max("n").alias("n"), F.min("map").alias("map"))
+    large = met.groupBy("meeting").agg(F.count("*").alias("members"), F.min("print").alias("least")).where(F.col("members") > meeting_classes)
+    large = materialize(large, "join-large")  # at most a row per meeting_classes rows of met
+    kept = met.join(large, "meeting", "left_anti").join(maps, "print").select("meeting", "print", "n", "map")
+    ordered = kept.repartition("meeting").sortWithinPartitions("meeting")
+    near = ordered.mapInArrow(_near_in_meetings(percent), "a long, b long")
+    stars = met.join(large, "meeting").select(F.col("print").alias("a"), F.col("least").alias("b"))
+    blocks = connected_components(near.unionByName(stars))
 
     # Chunks of a block by size; most blocks have one. Sizes, not members, are put in order: a size that alone exceeds
     # a chunk is split by hash.
@@ -407,8 +547,9 @@ def ngram_join(
     pairs = chunks.join(other, "label").where(ordered & (F.col("high") * 100 >= F.col("low2") * percent))
     task = F.concat_ws(":", "label", "chunk", "chunk2")
     tasks = pairs.select("label", task.alias("task"), F.explode(F.array_distinct(F.array("chunk", "chunk2"))).alias("chunk"))
-    wanted = members.join(tasks, ["label", "chunk"]).select("task", "chunk", "print", "id")
-    fetched = rows.join(wanted.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")))
+    wanted = materialize(members.join(tasks, ["label", "chunk"]).select("task", "chunk", "print", F.col("id").alias("want")), "join-wanted")
+    few = wanted.count() <= BROADCAST_WANTED
+    fetched = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("want")))
     fetched = fetched.select("task", "chunk", "print", "text").repartition("task").sortWithinPartitions("task", "chunk", "print")
     verified = connected_components(fetched.mapInArrow(_join_blocks(k, percent), "a long, b long"))
 
@@ -426,6 +567,8 @@ def ngram_join(
     )
 
 
+#: Up to so many rows of (task, chunk, print, id), some 100 bytes each, are broadcast to fetch texts; beyond, texts are shuffled.
+BROADCAST_WANTED = 200_000
 #: Up to so many ids of dropped rows (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -223,7 +223,8 @@ def test_ngram_join_against_brute_force(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for k, percent, block in ((4, 85, 1_000_000), (5, 80, 300)):
         component, size = brute_components(texts, k, percent)
-        got = ngram_join.ngram_join(df, k=k, percent=percent, block_shingles=block).toPandas().set_index("doc_id")
+        got = ngram_join.ngram_join(df, k=k, percent=percent, block_shingles=block, meeting_classes=5 if block == 300 else 50_000)
+        got = got.toPandas().set_index("doc_id")
         assert got.component_id.to_dict() == component and got.n_shingles.to_dict() == size
 
 
@@ -531,6 +532,14 @@ def test_html_table_edges(spark):
     assert html_text.extract_text(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_scratch_tables_can_be_cleaned(spark):
+    _common.materialize(spark.range(3), "test")
+    path = _common._written[-1]
+    assert _common.clean_scratch(spark) > 0 and not _common._written
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_slices_cover_every_row():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (5, 0, 100, 3, 3, 0)])], names=["t"])
     for limit in (1, 4, 6, 1000):
