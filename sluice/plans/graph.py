@@ -42,7 +42,7 @@ def vertex_centric(vertices: DataFrame, edges: DataFrame, message: Column, combi
     return out.select("id", "value")
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, every: int = 3) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(id, rank) after fixed rounds from 1/N; the mass of vertices without out-edges is spread over all vertices.
 
     Edges carry their source's out-degree and are partitioned by source once; a round shuffles ranks and messages.
@@ -59,7 +59,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float
             "id", "dangling", ((1 - damping) / n + damping * (F.coalesce("sum", F.lit(0.0)) + F.col("lost") / n)).alias("rank")
         )
 
-    return iterate(cut(state), step, rounds, every).select("id", "rank")
+    # Each round reads its state twice (the lost mass, the messages), so lineage is cut every round.
+    return iterate(cut(state), step, rounds, every=1).select("id", "rank")
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
