@@ -71,3 +71,42 @@ def event_time_windows(df: DataFrame, ts: str, length: str, slide: str | None =
 def processing_time_windows(df: DataFrame, length: str, slide: str | None = None, keys: list[str] | None = None, **aggregates: Column) -> DataFrame:
     """Windows over the time at which rows are processed."""
     return event_time_windows(df.withColumn("__now", F.current_timestamp()), "__now", length, slide, keys=keys, **aggregates)
+
+
+def custom(spark: SparkSession, name: str, rows, columns: str, per_trigger: int = 1000) -> DataFrame:
+    """A stream of the tuples ``rows(i)`` for i = 0, 1, ...; None ends what is there for now.
+
+    The offset is the next i, kept in the query's checkpoint, so ``rows`` must give the same tuple for the same i.
+    """
+    from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+    class Reader(SimpleDataSourceStreamReader):
+        def initialOffset(self):
+            return {"next": 0}
+
+        def read(self, start):
+            at, found = start["next"], []
+            while len(found) < per_trigger and (row := rows(at)) is not None:
+                found.append(row)
+                at += 1
+            return iter(found), {"next": at}
+
+        def readBetweenOffsets(self, start, end):
+            return iter([rows(i) for i in range(start["next"], end["next"])])
+
+        def commit(self, end):
+            pass
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return columns
+
+        def simpleStreamReader(self, schema):
+            return Reader()
+
+    spark.dataSource.register(Source)
+    return spark.readStream.format(name).load()

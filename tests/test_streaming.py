@@ -147,3 +147,11 @@ def test_event_count_windows_with_ties(spark, tmp_path):
 def test_policies_are_named(spark):
     with pytest.raises(ValueError):
         stateful.event_windows(spark.range(1), "id", "id", length=1, length_us=1, slide=1)
+
+
+def test_custom_source(spark, tmp_path):
+    stream = flows.custom(spark, "squares", lambda i: (i, i * i) if i < 25 else None, "i int, square int", per_trigger=10)
+    query = flows.start(stream, "memory", f"{tmp_path}/s", name="squares_table", once=False)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(tuple(r) for r in spark.table("squares_table").collect()) == [(i, i * i) for i in range(25)]
