@@ -500,6 +500,7 @@ def test_html_places():
     assert text("<div>site</div><main><p>story</p></main>") == "story"
     assert text("<div>site</div><div class='post-content'><p class=side-by-side>story</div><div class='side'>x</div>") == "story"
     assert text("<article><p class=ad>buy<p>story<section class='reader-comments'><p>first!</section></article>") == "story"
+    assert text("<article><p title=it's>one</p><p title='a>b' x=\"c>d\">it's two</p>") == "one\nit's two"
     assert text("<article><table><tr><td>a<td>b</table><pre>x\n  y</pre></article>") == "a\nb\nx y"
 
 
