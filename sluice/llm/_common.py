@@ -67,6 +67,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session have ``rows`` rows, unless the session has a number of its own.
+
+    With Spark's default of 10,000 a batch of documents takes tens of MB on both sides of each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 3 << 20):
     """Cut a batch into runs of rows whose text in ``column`` has about ``limit`` bytes; a longer row stands alone.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_strings, mix64, slices, table, words
+from ._common import hash_strings, mix64, slices, small_batches, table, words
 
 _STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -237,6 +237,7 @@ def contained_items(
 ) -> DataFrame:
     """One row per row of ``df`` and item it contains: doc_id, item_id, edits, item_words, end_word."""
     spark, limits = df.sparkSession, limits or Limits()
+    small_batches(spark)
     schema = "doc_id long, item_id long, edits long, item_words long, end_word long"
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col))
 
@@ -273,6 +274,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``df``, with all their columns, that contain no item."""
     spark, limits = df.sparkSession, limits or Limits()
+    small_batches(spark)
     column = df.columns.index(text_col)
 
     def passing(sent):

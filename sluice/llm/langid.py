@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix64, slices, table, words
+from ._common import materialize, mix64, slices, small_batches, table, words
 
 ORDERS = (3, 4)
 HASHES = 3
@@ -183,6 +183,7 @@ def _predict_batches(model):
 
 def train(df: DataFrame, text_col: str, lang_col: str, min_share: float = 2e-6, min_ratio: float = 0.125) -> BitSlicedBloom | None:
     """Learn the filters from all rows with a language. Sent to the driver: at most languages / min_share n-grams."""
+    small_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
     counts = materialize(
         rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"

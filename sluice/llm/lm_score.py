@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, table, words
+from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, small_batches, table, words
 
 DEPTH = 4
 END = 0xFF
@@ -420,6 +420,7 @@ def score_texts(df: DataFrame, train_where=None, id_col: str = "doc_id", text_co
     ``train_where`` tells the rows to learn from; by default all but a seventh, by the crc32 of the id as text.
     """
     spark = df.sparkSession
+    small_batches(spark)
     parts = shuffle_width(spark)
     held = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2, F.lit(False))
     held = held if train_where is None else ~train_where

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, table, words
+from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, small_batches, table, words
 from .components import connected_components, edge_batches, forest
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -506,6 +506,7 @@ def ngram_join(
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
     spark = df.sparkSession
+    small_batches(spark)
     parts = shuffle_width(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = materialize(rows.mapInArrow(_announce(k, percent, parts), _PACKED), "join-packed")

@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_dir, table
+from ._common import materialize, scratch_dir, small_batches, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 MIN_REVISIT = 100
@@ -282,6 +282,7 @@ def write_archives(
     Rows with equal payloads of at least 100 bytes become one response, that of the least id, and revisits of it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     if folder is None:
         folder = f"{scratch_dir(spark)}/wacz-{uuid.uuid4().hex}"
     fs, base = open_fs(folder)
