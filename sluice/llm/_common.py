@@ -77,7 +77,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 3 << 20):
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
     """Cut a batch into runs of rows whose text in ``column`` has about ``limit`` bytes; a longer row stands alone.
 
     Keeps a Python worker's memory in proportion to ``limit`` and the longest single text.

@@ -289,7 +289,7 @@ def _send(parts: int):
             for block in np.unique(blocks).tolist():
                 own = whole.filter(pa.array(blocks == block))
                 grams, vocab = tallies.setdefault(block, (Tally(), Tally()))
-                for batch in slices(own, 2, 4 << 20):
+                for batch in slices(own, 2):
                     texts = lower_ascii(batch.column(2))
                     training = batch.column(1).to_numpy(zero_copy_only=False)
                     keys, n = gram_keys(texts)
@@ -381,7 +381,7 @@ def _score(total: int, distinct: int, documents: int):
                         keys = np.frombuffer(b"".join(k for k, _ in parts[kind]), np.uint64)
                         tables[kind] = HashTable(keys, np.frombuffer(b"".join(v for _, v in parts[kind]), dtype))
                     parts = {GRAMS: [], WORDS: []}
-                for batch in slices(part, 4, 4 << 20):
+                for batch in slices(part, 4):
                     yield one(batch, tables)
 
     def one(batch, tables):

@@ -178,7 +178,7 @@ def _announce(k: int, percent: int, parts: int):
     def run(batches):
         held, n = [], 0
         for whole in batches:
-            for batch in slices(whole, 1, 3 << 20):
+            for batch in slices(whole, 1):
                 h, sizes = shingle_sets(batch.column(1), k)
                 prints = fingerprints(h, sizes)
                 ids = batch.column(0)
@@ -188,7 +188,7 @@ def _announce(k: int, percent: int, parts: int):
                 keys, owner = announcements(h, sizes, percent)
                 held.append((keys, prints[owner]))
                 n += len(keys)
-                if n > 1_500_000:
+                if n > 800_000:
                     yield from flush(held)
                     held, n = [], 0
         if n:
