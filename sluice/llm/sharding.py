@@ -3,12 +3,15 @@
 A group is all rows with one text. Groups are packed in order of falling size,
 each into the bin with the tightest remaining capacity that still holds it; the
 remaining capacities stand in a balanced search tree (a treap). ``pack`` is the
-plain algorithm for a given capacity; ``level_pack`` searches the least capacity
-at which a given number of bins suffices, which makes their sizes near equal.
+plain algorithm for a given capacity; ``level_pack`` gives each item above the average
+of what remains a bin of its own and searches the least capacity at which the
+other bins suffice for the other items, which makes the sizes of these near equal.
 
 At scale the groups are too many for one task, so the packing has two levels
-and no data-dependent switch: groups above ``total / (shards * fine)`` bytes
-(at most ``shards * fine`` of them) are packed as they are; smaller groups are
+and no data-dependent switch: with ``total`` the bytes of the groups that get no
+shard of their own and ``shards`` the number of shards left for them, groups above
+``total / (shards * fine)`` bytes (at most ``shards * fine`` of them, besides those
+with a shard of their own) are packed as they are; smaller groups are
 first packed, in cells dealt out by hash, into pallets of that capacity (at
 most two per ``shards * fine`` and one per cell). Pallets and large groups,
 bounded in number by ``fine`` and the cells, are then packed into the shards.
@@ -94,26 +97,48 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[int], int]:
     return place, bins
 
 
+def own_bins(sizes: list[int], total: int, bins: int) -> tuple[int, int, int]:
+    """(how many of the largest items get a bin of their own, bytes and bins left for all others).
+
+    ``sizes`` fall and hold the ``bins - 1`` largest items at least, or all; ``total`` is of all items.
+    """
+    for k, size in enumerate(sizes):
+        if size * bins <= total:
+            return k, total, bins
+        total, bins = total - size, bins - 1
+    return len(sizes), total, bins
+
+
 def level_pack(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit-decreasing at the least capacity found by bisection for which ``bins`` bins are enough."""
-    if not sizes:
-        return []
-    low = max(max(sizes), -(-sum(sizes) // bins))
+    """Items above the average of what remains have a bin each; the others go by best-fit-decreasing at the least
+    capacity found by bisection for which the other bins are enough."""
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    alone, total, left = own_bins([sizes[k] for k in order], sum(sizes), bins)
+    place = [0] * len(sizes)
+    for k in range(alone):
+        place[order[k]] = k
+    rest = sorted(order[alone:])
+    if not rest:
+        return place
+    items = [sizes[k] for k in rest]
+    low = max(max(items), -(-total // left))
     high, best = low, None
     while best is None:
-        place, used = pack(sizes, high)
-        if used <= bins:
-            best = place
+        found, used = pack(items, high)
+        if used <= left:
+            best = found
         else:
             low, high = high + 1, high + max(1, high // 64)
     while low < high:
         mid = (low + high) // 2
-        place, used = pack(sizes, mid)
-        if used <= bins:
-            best, high = place, mid
+        found, used = pack(items, mid)
+        if used <= left:
+            best, high = found, mid
         else:
             low = mid + 1
-    return best
+    for k, p in zip(rest, best, strict=True):
+        place[k] = alone + p
+    return place
 
 
 def _pallets(capacity: int):
@@ -149,10 +174,12 @@ def shard_groups(
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     totals = groups.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
     total, n_groups = totals["b"] or 0, totals["n"]
-    unit = max(1, total // (shards * fine))
+    top = [r["bytes"] for r in groups.select("bytes").orderBy(F.desc("bytes")).limit(shards).collect()]
+    _, rest, left = own_bins(top, total, shards)
+    unit = max(1, rest // (left * fine))
     cells = max(1, math.ceil(n_groups / cell_groups))
 
-    large = groups.where(F.col("bytes") > unit)  # fewer than shards * fine rows, as their sizes add up to total
+    large = groups.where(F.col("bytes") > unit)  # fewer than shards * fine rows, as the sizes of all but the own bins' add up to rest
     small = materialize(
         groups.where(F.col("bytes") <= unit)
         .withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int"))

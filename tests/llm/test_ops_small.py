@@ -116,6 +116,34 @@ def test_shards_with_a_hot_text_and_small_cells(spark):
     assert sums.max() <= 1.1 * sums.sum() / 8 + 51
 
 
+def even_beside_the_hot(sums, hot):
+    rest = [s for k, s in sums.items() if k not in hot]
+    assert len(sums) == 8 and max(rest) <= 1.02 * min(rest)
+
+
+def test_level_pack_with_large_items():
+    for larges in ([1 / 3], [0.2], [0.13], [0.4, 0.2], [0.3, 0.13, 0.13], [0.999]):
+        rest = [100 + i % 50 for i in range(2000)]
+        sizes = [int(sum(rest) * s / (1 - sum(larges))) for s in larges] + rest
+        sums, place = {}, sharding.level_pack(sizes, 8)
+        for s, p in zip(sizes, place, strict=True):
+            sums[p] = sums.get(p, 0) + s
+        assert all(sums[place[k]] == sizes[k] for k in range(len(larges)))
+        even_beside_the_hot(sums, place[: len(larges)])
+    assert sharding.level_pack([], 8) == [] and sorted(sharding.level_pack([9, 5, 1], 8)) == [0, 1, 2]
+    assert sharding.level_pack([9, 5, 1], 1) == [0, 0, 0]
+
+
+@pytest.mark.parametrize("length", [200, 40_000])
+def test_shards_with_a_text_of_a_third_or_nearly_all_bytes(spark, length):
+    rows = [(i, "h" * length if i % 10 == 0 else f"text {i} " + "x" * (i % 50)) for i in range(3000)]
+    out = sharding.shard_groups(spark.createDataFrame(rows, "doc_id long, text string"), fine=256).toPandas()
+    hot = set(out[out.doc_id % 10 == 0].shard)
+    sums = out.groupby("shard")["size"].sum().to_dict()
+    assert len(out) == 3000 and len(hot) == 1 and sums[min(hot)] == 300 * (length + 1) > sum(sums.values()) / 3
+    even_beside_the_hot(sums, hot)
+
+
 def test_mix_targets(spark):
     rows = [(i, "w " * (i % 9), s) for i, s in enumerate(random.Random(2).choices(["a", "b", "c", None], [8, 40, 1, 3], k=3000))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
