@@ -539,6 +539,19 @@ def test_repeats_across_pages_go_without_an_article_mark():
     assert all(r[2] == 24 for r in runs)
 
 
+def test_copies_and_quotes_stay_without_an_article_mark():
+    own = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(4)]
+    copies = html_text.extract_run([f"<div>{own[0]}</div>"] * 2 + [f"<p>{own[0]}</p>"] * 3)
+    assert [r[0] for r in copies] == [own[0]] * 5
+    quote = " ".join(f"q{j}" for j in range(9))
+    texts = [f"{own[0]} {quote}", f"{own[1]} {quote}", own[2], own[3]]
+    assert [r[0] for r in html_text.extract_run([f"<p>{t}</p>" for t in texts])] == texts
+    marked = [f"<article><p>{quote}</p><p>{own[i]}</p></article>" for i in range(4)]
+    assert html_text.extract_run([*marked, f"<p>{quote}</p>"])[4] == (quote, 9, 0)
+    noticed = [f"<div>{quote}</div>{m}" for m in marked]
+    assert html_text.extract_run([*noticed, f"<p>{quote} mine</p>"])[4] == ("mine", 10, 9)
+
+
 def test_repeated_tokens_equal_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(30):
