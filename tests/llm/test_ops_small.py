@@ -552,6 +552,27 @@ def test_copies_and_quotes_stay_without_an_article_mark():
     assert html_text.extract_run([*noticed, f"<p>{quote} mine</p>"])[4] == ("mine", 10, 9)
 
 
+@pytest.mark.parametrize("run_pages, run_chars, parts, block_windows", [(2, 1 << 20, 7, 1 << 20), (512, 1, 3, 10), (512, 1 << 20, 1, 1 << 20)])
+def test_repeats_are_found_over_all_pages_of_a_host(spark, run_pages, run_chars, parts, block_windows):
+    header, notice, quote = (" ".join(f"{c}{j}" for j in range(10)) for c in "hnq")
+    rows, hosts = [], {}
+    for i in range(60):
+        host = "a" if i % 3 else f"b{i % 2}"
+        own = " ".join(f"u{i % 50}v{j}" for j in range(12))
+        said = f"{notice} " if i % 10 == 1 else ""
+        told = f" {quote}" if i in (4, 5) else ""
+        body = f"<article><p>{own} {header}</p></article>" if i % 7 == 0 else f"<p>{said}{own}{told}</p>"
+        rows.append((i, f"http://{host}/{i}", f"<div>{header}</div>{body}"))
+        hosts.setdefault(host, []).append(rows[-1])
+    df = pages(spark, rows).repartition(parts, "page_id")
+    got = {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in html_text.extract_text(df, run_pages=run_pages, run_chars=run_chars, block_windows=block_windows).collect()}
+    for found in hosts.values():
+        for row, want in zip(found, html_text.extract_run([r[2] for r in found]), strict=True):
+            assert got[row[0]] == want
+    assert all((header in text) == (i % 7 == 0) for i, (text, _, _) in got.items())
+    assert notice not in got[1][0] + got[41][0] and quote in got[4][0] and quote in got[5][0]
+
+
 def test_repeated_tokens_equal_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(30):
