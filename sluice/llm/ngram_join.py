@@ -501,10 +501,22 @@ def _join_blocks(k: int, percent: int):
     return run
 
 
-def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000, meeting_classes: int = 50_000
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
+def _print_of(k: int):
+    """A function of a text that gives its set_id, null for texts without words."""
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+            h, sizes = shingle_sets(part.column(0), k)
+            out += [p if n else None for p, n in zip(fingerprints(h, sizes).tolist(), sizes.tolist(), strict=True)]
+        return pa.array(out, pa.int64())
+
+    return print_of
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, block_shingles: int = 250_000, meeting_classes: int = 50_000) -> DataFrame:
+    """What ``ngram_join`` returns, and kept_set: of the sets in the component with its least id, the least set_id."""
     spark = df.sparkSession
     small_batches(spark)
     parts = shuffle_width(spark)
@@ -550,24 +562,42 @@ def ngram_join(
     tasks = pairs.select("label", task.alias("task"), F.explode(F.array_distinct(F.array("chunk", "chunk2"))).alias("chunk"))
     wanted = materialize(members.join(tasks, ["label", "chunk"]).select("task", "chunk", "print", F.col("id").alias("want")), "join-wanted")
     few = wanted.count() <= BROADCAST_WANTED
-    fetched = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("want")))
+    # Null ids and ids with several sets don't tell whose text is wanted: of these rows the set is told again.
+    several = sets.where("n > 0 and id is not null").groupBy("id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a != b")
+    several = materialize(several.select("id"), "join-several")
+    fetched = rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("want"))
+    if not several.isEmpty() or not wanted.where("want is null").isEmpty():
+        fetched = fetched.join(several, "id", "left_anti")
+        told = rows.where("id is null").unionByName(rows.join(several, "id", "left_semi"))
+        told = told.withColumn("print", _print_of(k)("text")).where("print is not null").dropDuplicates(["id", "print"])
+        fetched = fetched.select("task", "chunk", "print", "text").unionByName(
+            told.join(wanted, (told.print == wanted.print) & F.col("id").eqNullSafe(F.col("want"))).select("task", "chunk", wanted.print, "text")
+        )
     fetched = fetched.select("task", "chunk", "print", "text").repartition("task").sortWithinPartitions("task", "chunk", "print")
     verified = connected_components(fetched.mapInArrow(_join_blocks(k, percent), "a long, b long"))
 
     linked = classes.join(verified, classes.print == verified.node, "left").select(
         "print", "id", F.coalesce("label", "print").alias("label")
     )
-    least = linked.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = linked.join(least, "label").select("print", "component_id")
+    least = linked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("kept"))
+    of_class = linked.join(least, "label").select("print", F.col("kept.id").alias("component_id"), F.col("kept.print").alias("kept_set"))
     # Copies make one class hot on the side of the rows; of_class has one row a class, so AQE can split it.
     return sets.join(of_class, "print", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("print")).alias("set_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("kept_set")).alias("kept_set"),
     )
 
 
+def ngram_join(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000, meeting_classes: int = 50_000
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
+    return _components(df, id_col, text_col, k, percent, block_shingles, meeting_classes).drop("kept_set")
+
+
 #: Up to so many rows of (task, chunk, print, id), some 100 bytes each, are broadcast to fetch texts; beyond, texts are shuffled.
 BROADCAST_WANTED = 200_000
 #: Up to so many ids of dropped rows (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -577,20 +607,32 @@ BROADCAST_IDS = 500_000
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df``, with all their columns, but for near copies: of each component the row with the least id stays.
 
-    Rows that repeat both id and text leave one; rows with null ids stay unless a member of their component has an id.
+    Rows are judged by their own text, also where ids are null or repeat: null ids come last, and of equal ids the least
+    set_id stays. Rows that repeat an id and a set, or an id and a text without words, leave one; rows with a null id and
+    no words stay.
     """
-    found = ngram_join(df, id_col, text_col, k, percent)
-    found = materialize(found.select("doc_id", "component_id"), "near-components")
+    found = _components(df, id_col, text_col, k, percent)
+    stays = F.col("set_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("kept_set")))
+    found = materialize(found.select("doc_id", "set_id", stays.alias("stays")), "near-components")
     keys = F.col(id_col).cast("long")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    dropped = materialize(dropped, "near-dropped")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("stays").alias("stays"))
+    ids = materialize(ids.where("n > 1 or not stays").select(F.col("doc_id").alias("near_id"), (F.col("n") > 1).alias("again")), "near-ids")
+    dropped, again = ids.where("not again").select("near_id"), ids.where("again").select("near_id")
     few = dropped.count() <= BROADCAST_IDS
-    kept = df.join(F.broadcast(dropped) if few else dropped, keys.eqNullSafe(F.col("dropped_id")), "left_anti")
-    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "near-repeated")
-    if repeated.isEmpty():
+    kept = df.join(F.broadcast(dropped) if few else dropped, keys == F.col("near_id"), "left_anti")
+    if again.isEmpty() and found.where("doc_id is null").isEmpty():
         return kept
-    once = kept.join(repeated, keys == F.col("again"), "left_anti")
-    return once.unionByName(kept.join(repeated, keys == F.col("again"), "left_semi").dropDuplicates([id_col, text_col]))
+    # An id tells one row only if it is neither null nor repeated; of the other rows the set is told again.
+    once = kept.where(keys.isNotNull()).join(again, keys == F.col("near_id"), "left_anti")
+    other = kept.where(keys.isNull()).unionByName(kept.join(again, keys == F.col("near_id"), "left_semi"))
+    told = other.withColumn("near_print", _print_of(k)(F.col(text_col)))
+    bare = told.where("near_print is null").drop("near_print")
+    bare = bare.where(keys.isNull()).unionByName(bare.where(keys.isNotNull()).dropDuplicates([id_col, text_col]))
+    least = found.where("stays and set_id is not null").join(again, F.col("doc_id") == F.col("near_id"), "left_semi")
+    least = least.unionByName(found.where("stays and set_id is not null and doc_id is null"))
+    least = least.select(F.col("doc_id").alias("near_id"), F.col("set_id").alias("near_set")).distinct()
+    told = told.join(least, (F.col("near_print") == F.col("near_set")) & keys.eqNullSafe(F.col("near_id")), "left_semi")
+    return once.unionByName(bare).unionByName(told.dropDuplicates([id_col, "near_print"]).drop("near_print"))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -302,6 +302,40 @@ def test_drop_near_copies_keeps_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4, 5]
 
 
+def test_drop_near_copies_with_null_and_repeated_ids(spark):
+    clean = [" ".join(f"{c}{j}" for j in range(12)) for c in "abcdefg"]
+    rows = [(1, clean[0]), (None, clean[0]), (None, clean[1]), (None, clean[2]), (None, clean[2] + " end"), (7, clean[0] + " end"), (7, clean[3])]
+    rows += [(9, clean[4]), (9, clean[5]), (9, clean[5] + " end"), (9, clean[4]), (None, ""), (None, None), (11, ""), (11, ""), (12, clean[6]), (12, clean[6].upper())]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at int")
+    got = ngram_join.drop_near_copies(df)
+    assert got.columns == df.columns
+    found = sorted((r.doc_id or 0, (r.text or "").lower().removesuffix(" end")) for r in got.collect())
+    assert found == sorted([(1, clean[0]), (0, clean[1]), (0, clean[2]), (7, clean[3]), (9, clean[4]), (9, clean[5]), (0, ""), (0, ""), (11, ""), (12, clean[6])])
+
+
+def test_drop_near_copies_by_row_equals_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        if i % 4 and i > 20:
+            w = rng.choice(rows)[1].split(" ")
+            w[rng.choice([0, -1])] = f"e{i}"
+            w = w[: len(w) - rng.randrange(3)] if len(w) > 20 else w
+        else:
+            w = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(25, 60))]
+        rows.append((rng.choice([None, rng.randrange(25), 100 + i]), " ".join(w)))
+    component, _ = brute_components({i: t for i, (_, t) in enumerate(rows)}, 5, 80)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at int")
+    members = {}
+    for i, c in component.items():
+        members.setdefault(c, []).append(i)
+    assert len(members) < 120
+    kept = [r["at"] for r in ngram_join.drop_near_copies(df).collect()]
+    assert sorted(component[i] for i in kept) == sorted(members)
+    rank = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    assert all(rank(i) == min(map(rank, members[component[i]])) for i in kept)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)], "a long, b long")
     got = {r.node: r.label for r in connected_components(edges).collect()}
