@@ -215,13 +215,35 @@ def test_langid_mask_has_no_false_negatives():
     bloom = langid.BitSlicedBloom([f"l{i:02d}" for i in range(70)], 1 << 14)
     grams = {k: rng.integers(0, 2**63, 200).astype(np.uint64) for k in range(70)}
     for k, g in grams.items():
-        bloom.add(g, k)
+        bloom.add(g, k, k % 4)
     bloom.finish()
     for k, g in grams.items():
-        assert ((bloom.holds(g, k // 64) >> np.uint64(k % 64)) & np.uint64(1)).all()
+        for tier in range(k % 4 + 1):
+            plane, shift = bloom.place(k, tier)
+            assert ((bloom.holds(g, plane) >> np.uint64(shift)) & np.uint64(1)).all()
     fresh = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     seen = np.mean((bloom.holds(fresh, 0) & np.uint64(1)) > 0)
-    assert abs(seen - bloom.false[0]) < 0.01
+    assert abs(seen - bloom.false[0, 0]) < 0.01
+
+
+def test_langid_keeps_every_ngram_of_every_language(spark):
+    rng = random.Random(8)
+    texts = {"a": ["".join(rng.choices("abcd", k=9)) for _ in range(400)], "b": ["".join(rng.choices("cdef", k=9)) for _ in range(30)], "c": ["cdcdcdcd", "ababab"]}
+    rows = [(t, lang) for lang, ts in texts.items() for t in ts]
+    bloom = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(7), "text", "lang")
+    want = langid.BitSlicedBloom(bloom.langs, bloom.m)
+    counts = {}
+    for k, lang in enumerate(bloom.langs):
+        _, grams, _ = langid.word_grams(pa.array(texts[lang]))
+        grams, n = np.unique(grams, return_counts=True)
+        counts[k] = dict(zip(grams.tolist(), (n / n.sum()).tolist()))
+    for k, held in counts.items():
+        for gram, share in held.items():
+            top = max(c.get(gram, 0) for c in counts.values())
+            want.add(np.array([gram], np.uint64), k, sum(share >= top * part for part in langid.TIERS) - 1)
+    assert (want.table == bloom.table).all()
+    small = langid.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", max_bytes=1)
+    assert small.m == langid.CHUNK
 
 
 def test_langid_edges(edge):
