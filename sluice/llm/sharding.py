@@ -4,17 +4,19 @@ A group is all rows with one text. Groups are packed in order of falling size,
 each into the bin with the tightest remaining capacity that still holds it; the
 remaining capacities stand in a balanced search tree (a treap). ``pack`` is the
 plain algorithm for a given capacity; ``level_pack`` gives each item above the average
-of what remains a bin of its own and searches the least capacity at which the
+of what remains a bin of its own and searches the least capacity (to 1/65536) at which the
 other bins suffice for the other items, which makes the sizes of these near equal.
 
-At scale the groups are too many for one task, so the packing has two levels
+At scale the groups are too many for one task, so the packing has levels
 and no data-dependent switch: with ``total`` the bytes of the groups that get no
 shard of their own and ``shards`` the number of shards left for them, groups above
-``total / (shards * fine)`` bytes (at most ``shards * fine`` of them, besides those
+``total / (shards * fine)`` bytes (fewer than ``shards * fine`` of them, besides those
 with a shard of their own) are packed as they are; smaller groups are
-first packed, in cells dealt out by hash, into pallets of that capacity (at
-most two per ``shards * fine`` and one per cell). Pallets and large groups,
-bounded in number by ``fine`` and the cells, are then packed into the shards.
+first packed, in cells dealt out by hash, into pallets of that capacity. A cell has at
+most one pallet that is not half full, so there are at most ``2 * shards * fine`` pallets and
+one per cell; while they are more than ``3 * shards * fine``, they are dealt into cells
+and packed again. At most ``4 * shards * fine`` items, whatever the corpus, are
+then packed into the shards on the driver.
 
 Defined results: null text is a text of its own value of 0 bytes, in the group
 of the empty text, with crc 0; rows that repeat go with their group; null ids
@@ -129,7 +131,7 @@ def level_pack(sizes: list[int], bins: int) -> list[int]:
             best = found
         else:
             low, high = high + 1, high + max(1, high // 64)
-    while low < high:
+    while high - low > low >> 16:
         mid = (low + high) // 2
         found, used = pack(items, mid)
         if used <= left:
@@ -141,13 +143,32 @@ def level_pack(sizes: list[int], bins: int) -> list[int]:
     return place
 
 
-def _pallets(capacity: int):
-    def cell(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "key"], ascending=[False, True], ignore_index=True)
+def _into_pallets(items: DataFrame, kind: str, capacity: int, cells: int) -> DataFrame:
+    """(item, bytes) to (item, bytes, pallet): packed in cells dealt out by hash; no cell shares a pallet with another."""
+
+    def pack_cell(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bytes", "item"], ascending=[False, True], ignore_index=True)
         place, _ = pack(frame["bytes"].tolist(), capacity)
-        return pd.DataFrame({"key": frame["key"], "bytes": frame["bytes"], "cell": frame["cell"], "pallet": place})
+        return pd.DataFrame({"item": frame["item"], "bytes": frame["bytes"], "pallet": [int(c) << 32 | p for c, p in zip(frame["cell"], place, strict=True)]})
+
+    dealt = items.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells)).cast("int"))
+    return materialize(dealt.groupBy("cell").applyInPandas(pack_cell, f"item {kind}, bytes long, pallet long"), "shard-pallets")
+
 
-    return cell
+def pallets_of(groups: DataFrame, n: int, unit: int, limit: int, cell_groups: int) -> tuple[DataFrame, list]:
+    """(item, bytes) of groups to (item, pallet), and [(pallet, bytes)] of some ``limit`` pallets at most, by the levels it takes."""
+    cells = max(1, math.ceil(n / cell_groups))
+    level = _into_pallets(groups, "binary", unit, cells)
+    of_item = level.select("item", "pallet")
+    while True:
+        pallets = level.groupBy("pallet").agg(F.sum("bytes").alias("bytes"))
+        n = pallets.count()
+        if n <= limit or cells == 1:
+            return of_item, [tuple(r) for r in pallets.orderBy("pallet").collect()]
+        cells = min(cells - 1, math.ceil(n / cell_groups))
+        level = _into_pallets(pallets.select(F.col("pallet").alias("item"), "bytes"), "long", unit, cells)
+        higher = level.select(F.col("item").alias("pallet"), F.col("pallet").alias("higher"))
+        of_item = of_item.join(higher, "pallet").select("item", F.col("higher").alias("pallet"))
 
 
 def shard_groups(
@@ -155,7 +176,7 @@ def shard_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int = 8,
-    fine: int = 4096,
+    fine: int = 1024,
     cell_groups: int = 50_000,
     slot_rows: int = 20_000,
 ) -> DataFrame:
@@ -177,32 +198,21 @@ def shard_groups(
     top = [r["bytes"] for r in groups.select("bytes").orderBy(F.desc("bytes")).limit(shards).collect()]
     _, rest, left = own_bins(top, total, shards)
     unit = max(1, rest // (left * fine))
-    cells = max(1, math.ceil(n_groups / cell_groups))
-
     large = groups.where(F.col("bytes") > unit)  # fewer than shards * fine rows, as the sizes of all but the own bins' add up to rest
-    small = materialize(
-        groups.where(F.col("bytes") <= unit)
-        .withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int"))
-        .groupBy("cell")
-        .applyInPandas(_pallets(unit), "key binary, bytes long, cell int, pallet int"),
-        "shard-pallets",
-    )
-    items = [(r["key"], None, None, r["bytes"]) for r in large.orderBy("key").collect()]
-    items += [
-        (None, r["cell"], r["pallet"], r["bytes"])
-        for r in small.groupBy("cell", "pallet").agg(F.sum("bytes").alias("bytes")).orderBy("cell", "pallet").collect()
-    ]
-    place = level_pack([x[3] for x in items], shards)
-    of_large = spark.createDataFrame([(bytes(x[0]), p) for x, p in zip(items, place) if x[0] is not None], "key binary, shard int")
-    of_pallet = spark.createDataFrame([(x[1], x[2], p) for x, p in zip(items, place) if x[0] is None], "cell int, pallet int, shard int")
-
-    # Both maps are bounded by shards * fine: only these sides are broadcast. A hot text is a large group, so the
-    # shuffled join below sees small groups only.
+    small = groups.where(F.col("bytes") <= unit).select(F.col("key").alias("item"), "bytes")
+    of_item, pallets = pallets_of(small, n_groups, unit, 3 * left * fine, cell_groups)
+    singles = [(bytes(r["key"]), r["bytes"]) for r in large.orderBy("key").collect()]
+    place = level_pack([x[1] for x in singles + pallets], shards)
+    of_large = spark.createDataFrame([(x[0], p) for x, p in zip(singles, place)], "key binary, shard int")
+    of_pallet = spark.createDataFrame([(x[0], p) for x, p in zip(pallets, place[len(singles) :], strict=True)], "pallet long, shard int")
+
+    # Both maps are bounded by shards * fine, see above: only these sides are broadcast. A hot text is a large group, so
+    # the shuffled join below sees small groups only.
     hot = rows.join(F.broadcast(of_large), "key").select("id", "size", "crc", "shard")
     cold = (
         rows.join(F.broadcast(of_large), "key", "left_anti")
-        .join(small.select("key", "cell", "pallet"), "key")
-        .join(F.broadcast(of_pallet), ["cell", "pallet"])
+        .join(of_item.withColumnRenamed("item", "key"), "key")
+        .join(F.broadcast(of_pallet), "pallet")
         .select("id", "size", "crc", "shard")
     )
     placed = materialize(hot.unionByName(cold), "shard-placed")

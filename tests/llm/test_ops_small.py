@@ -144,6 +144,20 @@ def test_shards_with_a_text_of_a_third_or_nearly_all_bytes(spark, length):
     even_beside_the_hot(sums, hot)
 
 
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_driver_items_stay_bounded_whatever_the_cells(spark, n):
+    rng, shards, fine = random.Random(n), 4, 8
+    rows = [(f"g{i}".encode(), rng.randrange(1, 60)) for i in range(n)]
+    unit = sum(b for _, b in rows) // (shards * fine)
+    of_item, pallets = sharding.pallets_of(spark.createDataFrame(rows, "item binary, bytes long"), n, unit, 3 * shards * fine, 10)
+    assert len(pallets) <= 3 * shards * fine < n // 10
+    got = {bytes(r.item): r.pallet for r in of_item.collect()}
+    sums = {}
+    for item, size in rows:
+        sums[got[item]] = sums.get(got[item], 0) + size
+    assert len(got) == n and sums == dict(pallets) and max(sums.values()) <= unit
+
+
 def test_mix_targets(spark):
     rows = [(i, "w " * (i % 9), s) for i, s in enumerate(random.Random(2).choices(["a", "b", "c", None], [8, 40, 1, 3], k=3000))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
