@@ -2,21 +2,26 @@
 
 Base spans follow fixed patterns (leftmost, not overlapping per kind) and checks
 (octets, Luhn, digit counts); they always stay. Around them stand *candidates*:
-matches of the base patterns, checked or not, and of wider ones (written-out
-e-mail addresses, national phone numbers). Labelers vote 1, 0 or -1 on each:
-
-* regex: the base check holds, fails, or doesn't apply;
-* gazetteer: the top-level domain, card prefix and length, address range or area
-  code is a known one;
+matches of the base patterns, checked or not, and those that the other labelers
+propose. The gazetteer proposes numbers grouped as in its countries' number plans
+and IPv6 addresses, the context proposes numbers after words like "tel", written-out
+addresses, cards with other separators, and tokens of letters and digits that may be
+secrets (a kind of their own). Labelers vote 1, 0 or -1 on each candidate:
+
+* regex: the kind's check holds, fails, or doesn't apply;
+* gazetteer: the top-level domain, card prefix and length, address range, number
+  plan or key prefix is a known one, or not;
 * context: words before the span speak for or against its kind;
-* border: the span is bounded by white space or punctuation, or glued to more.
+* border: the span stands alone, or is glued to letters or near other digits.
 
-Votes are counted by pattern (at most 6 kinds * 3^4 patterns * 4 lengths, the only
-rows that reach the driver). Expectation-maximisation estimates how reliable each
-labeler is, from the patterns with a known class (base spans are real, failed
-checks are not) and those without; the posteriors then train the final span
-classifier, a naive Bayes over kind, votes and length. Its spans are added where
-its probability reaches ``threshold`` and no base span overlaps.
+Votes are counted by pattern of candidate and votes (at most 11 patterns * 3^4 votes *
+4 lengths, the only rows that reach the driver). No candidate's class is taken as
+known: expectation-maximisation estimates from all of them how each labeler votes on
+real and on false spans, for each kind and, where a kind has few candidates, from all
+kinds together. The posteriors then train the final span classifier, a naive Bayes over
+kind, pattern, votes and length. Its spans are added where its probability reaches
+``threshold`` and no base span overlaps; matches of base patterns that fail their check
+are never added. ``spans`` holds the four listed kinds, ``secrets`` the fifth.
 
 Start positions come from the text between the matches: ``split`` gives the gaps,
 a window sums their lengths. Quantifiers are possessive and starts are tied to the
@@ -38,8 +43,11 @@ from pyspark.sql import functions as F
 from ._common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
 _LOCAL = "[A-Za-z0-9._%+-]"
-#: Candidate patterns: the four base kinds, then the wider forms of e-mail and phone.
+_TEL = "tel|telefon|telephone|téléphone|teléfono|phone|fon|mobil|mobile|móvil|handy|portable|fax|call|whatsapp"
+_TOKEN = "[A-Za-z0-9_/+-]"
+#: Candidate patterns: the four base kinds, then those that gazetteer and context propose.
 PATTERNS = (
     rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -47,23 +55,45 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
     rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++",
     r"(?<![+0-9().-])(?<![+0-9().-]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    r"(?<![+0-9().,:/-])(?<![0-9]\x20)(?:0[1-9](?:[\x20.-][0-9]{2}){4}|[6-9][0-9]{2}(?:(?:[\x20.-][0-9]{3}){2}|(?:[\x20.-][0-9]{2}){3})"
+    r"|\(?0[2-9][0-9]{1,4}\)?[\x20/-][0-9]{4,8}(?:[\x20-][0-9]{1,4})?)(?![0-9.,:/-]?[0-9])",
+    rf"(?<=(?i:{_TEL})[.:]{{0,2}}\x20{{0,2}})(?<![0-9+(])\(?[0-9][\x20().0-9/-]{{4,18}}[0-9](?![0-9])",
+    r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9./_])",
+    r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
+    rf"(?<!{_TOKEN})(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z]){_TOKEN}{{12,}}+={{0,2}}",
 )
 #: What a text must hold for a pattern to be worth a try.
-HINTS = ("@", r"[0-9]\.[0-9]", "[0-9]", r"\+[0-9]", r"[\[(](?:at|AT)[\])]", "[0-9]{3}[.-][0-9]{4}")
-OF_KIND = (0, 1, 2, 3, 0, 3)
+HINTS = (
+    "@",
+    r"[0-9]\.[0-9]",
+    "[0-9]",
+    r"\+[0-9]",
+    r"[\[(](?:at|AT)[\])]",
+    "[0-9]{3}[.-][0-9]{4}",
+    r"[0-9]{2}[\x20./-][0-9]{2}",
+    rf"(?i:{_TEL})[.:\x20]{{1,4}}\(?[0-9]",
+    "[0-9]{4}[./_][0-9]{4}",
+    "[0-9A-Fa-f]:[0-9A-Fa-f:]",
+    rf"[0-9]{_TOKEN}*[A-Za-z]|[A-Za-z]{_TOKEN}*[0-9]",
+)
+OF_KIND = (0, 1, 2, 3, 0, 3, 3, 3, 2, 1, SECRET)
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 TLDS = "com|net|org|edu|gov|int|info|biz|io|eu|de|fr|es|it|uk|us|ca|ch|at|be|nl|se|pt|mx|ar|co|jp|cn|in|au"
+#: Forms of keys that services give out, by their fixed beginnings.
+KEY_FORMS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,})$"
 CONTEXT = (
     "mail|courriel|correo|contact|kontakt|write|schreib|écri|escrib",
     "ip|server|host|address|adresse|dirección|login|client",
     "card|karte|carte|tarjeta|visa|mastercard|amex|credit|payment|zahlung|paiement|pago",
     "tel|phone|fon|mobile|mobil|handy|móvil|portable|call|fax|whatsapp|anruf|appel|llama",
+    "password|passwort|passwd|pwd|secret|token|key|apikey|auth|bearer|credential|contraseña|passe|schlüssel",
 )
 AGAINST = (
     "example|sample|noreply|commit",
     "version|release|section|chapter|v",
     "isbn|issn|order|invoice|serial|ref|bestell|commande|pedido|timestamp|id",
     "isbn|order|invoice|serial|ref|version|id",
+    "commit|sha|md5|crc|checksum|uuid|isbn|order|invoice|serial|version|file|path",
 )
 LABELERS = ("regex", "gazetteer", "context", "border")
 
@@ -115,7 +145,7 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.length("piece.gap").alias("gap"),
         F.length("piece.span").alias("n"),
         F.substring(F.col("piece.gap"), -40, 40).alias("before"),
-        F.substring(F.col("piece.gap"), 1, 2).alias("head"),
+        F.substring(F.col("piece.gap"), 1, 4).alias("head"),
     ).repartition("row")
     order = Window.partitionBy("row", "pattern").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -141,27 +171,36 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def votes(cands: DataFrame) -> DataFrame:
-    """Adds kind, base (the pattern's check holds), known (class of the candidate or null), the labelers' votes, length."""
+    """Adds kind, base (a base pattern's check holds), the labelers' votes and the length."""
     digits = _digits("span")
     n = F.length(digits)
     ip = F.col("span").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
-    check = _by_kind("pattern", [F.lit(True), ip, n.between(12, 19) & _luhn(digits), n.between(9, 15), F.lit(None), F.lit(None)])
+    vote = lambda good, otherwise: F.when(good, yes).otherwise(otherwise)
+    card_check = n.between(12, 19) & _luhn(digits)
+    check = [F.lit(True), ip, card_check, n.between(9, 15)]
+    hexadecimal = F.col("span").rlike("^(?=.*[0-9].*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{12,}$")
+    mixed = hexadecimal | F.col("span").rlike("^(?=.*[0-9].*[0-9])(?!.*[a-z]{6})(?!.*[A-Z]?[a-z]{3,}[_/+-][A-Za-z]{3,})")
+    regex = [vote(c, no) for c in check] + [none, none, none, vote(n.between(7, 15), no), vote(card_check, no), none, vote(mixed | F.col("span").rlike(KEY_FORMS), no)]
     tld = F.lower(F.regexp_extract("span", "([A-Za-z0-9-]+)$", 1)).rlike(f"^(?:{TLDS})$")
     card = digits.rlike("^(?:3[47][0-9]{13}|4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|6(?:011|5[0-9]{2})[0-9]{12})$")
     area = digits.rlike("^(?:1[2-9][0-9]{9}|[2-9][0-9]{2}[2-9][0-9]{6}|(?:3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[0-9]{7,11})$")
+    plan = digits.rlike("^(?:0[1-9][0-9]{8}|[6-9][0-9]{8}|0[2-9][0-9]{6,11})$")
     public = ~F.col("span").rlike(r"^0*(?:0|127|255)\.")
-    known_form = _by_kind("pattern", [tld, public, card, area, tld, area])
+    wide = F.col("span").rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[^:]+(?::[^:]+)*::[^:]+(?::[^:]+)*$")
+    words = F.col("span").rlike("[a-z]{5}|^[A-Za-z]+[0-9]{1,4}$|/") & ~hexadecimal
+    key = F.when(F.col("span").rlike(KEY_FORMS), yes).when(words, no).otherwise(none)
+    forms = [tld, public, card, area, tld, area, plan, plan | area, card, wide]
+    gazetteer = _by_kind("pattern", [*[vote(f, none if k == 7 else no) for k, f in enumerate(forms)], key])
     near = F.lower("before")
     pro = _by_kind("kind", [near.rlike(rf"(?:^|[^\p{{L}}])(?:{c})[\p{{L}}-]*[^\p{{L}}]{{0,12}}$") for c in CONTEXT])
     con = _by_kind("kind", [near.rlike(rf"(?:^|[^\p{{L}}])(?:{c})[^\p{{L}}]{{0,4}}$") for c in AGAINST])
-    glued = F.col("before").rlike(r"[\p{L}0-9_]$") | F.col("after").rlike(r"^[\p{L}0-9_]")
-    marked = cands.withColumn("kind", _by_kind("pattern", [F.lit(k) for k in OF_KIND])).withColumn("base", F.coalesce(check, F.lit(False)))
+    glued = F.col("before").rlike(r"[\p{L}0-9_]$|[0-9][^\p{L}0-9]{1,3}$") | F.col("after").rlike(r"^[\p{L}0-9_]|^[^\p{L}0-9]{1,3}[0-9]")
+    marked = cands.withColumns({"kind": _by_kind("pattern", [F.lit(k) for k in OF_KIND]), "base": F.coalesce(_by_kind("pattern", check), F.lit(False))})
     return marked.withColumns(
         {
-            "known": F.when(F.col("pattern") < 4, F.col("base").cast("int")),
-            "regex": F.when(F.col("pattern") >= 4, none).when(F.col("base"), yes).otherwise(no),
-            "gazetteer": F.when(known_form, yes).otherwise(no),
+            "regex": _by_kind("pattern", regex),
+            "gazetteer": gazetteer,
             "context": F.when(con, no).when(pro, yes).otherwise(none),
             "border": F.when(glued, no).otherwise(yes),
             "size": F.when(F.length("span") < 12, 0).when(F.length("span") < 20, 1).when(F.length("span") < 32, 2).otherwise(3),
@@ -169,65 +208,102 @@ def votes(cands: DataFrame) -> DataFrame:
     )
 
 
-def em(patterns: list[tuple], rounds: int = 30) -> dict:
-    """Posterior of each (votes) pattern being real.
+#: A kind's labelers start from those of all kinds, worth so many candidates.
+POOLED = 10.0
+
+
+def _logistic(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+
+
+def em(patterns: list[tuple], rounds: int = 30) -> tuple[dict, dict]:
+    """(posterior of each (kind, votes) being real, {(kind, labeler): (part of 1 among its votes on the real, on the false)}).
 
-    ``patterns`` holds (votes, known class or None, count). The model: votes are independent given the class, each
-    labeler with its own distribution over -1, 0, 1 per class, smoothed by one pseudo-count.
+    ``patterns`` holds (kind, votes, count); no class is known. Votes are independent given kind and class; 0 is no vote and
+    says nothing. Each labeler has its own rates per kind, drawn towards those of all kinds, and is taken to be no worse than
+    chance: where its rates say otherwise they are made equal. The votes' sum is where it begins.
     """
-    post = {(v, k): float(k) if k is not None else 1 / (1 + math.exp(-sum(v))) for v, k, _ in patterns}
+    kinds = sorted({k for k, _, _ in patterns})
+    post = {(k, v): _logistic(sum(v)) for k, v, _ in patterns}
+    rates: dict = {}
     for _ in range(rounds):
-        mass = [1.0, 1.0]
-        table_ = [[{x: 1.0 for x in (-1, 0, 1)} for _ in LABELERS] for _ in (0, 1)]
-        for v, k, n in patterns:
-            p = post[v, k]
-            for y, w in ((1, n * p), (0, n * (1 - p))):
-                mass[y] += w
+        mass = {k: [1.0, 1.0] for k in kinds}
+        own = {(k, j): {x: [0.0, 0.0] for x in (-1, 1)} for k in kinds for j in range(len(LABELERS))}
+        every = [{x: [1.0, 1.0] for x in (-1, 1)} for _ in LABELERS]
+        for k, v, n in patterns:
+            for y, w in ((1, n * post[k, v]), (0, n * (1 - post[k, v]))):
+                mass[k][y] += w
                 for j, x in enumerate(v):
-                    table_[y][j][x] += w
-        for v, k, _ in patterns:
-            if k is None:
-                odds = math.log(mass[1]) - math.log(mass[0])
-                for j, x in enumerate(v):
-                    odds += math.log(table_[1][j][x] / (mass[1] + 2)) - math.log(table_[0][j][x] / (mass[0] + 2))
-                post[v, k] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-    return post
+                    if x:
+                        own[k, j][x][y] += w
+                        every[j][x][y] += w
+        for k in kinds:
+            for j, name in enumerate(LABELERS):
+                yes = [own[k, j][1][y] + POOLED * every[j][1][y] / (every[j][1][y] + every[j][-1][y]) for y in (0, 1)]
+                all_ = [own[k, j][1][y] + own[k, j][-1][y] + POOLED for y in (0, 1)]
+                real, false = yes[1] / all_[1], yes[0] / all_[0]
+                rates[k, name] = (real, false) if real >= false else (sum(yes) / sum(all_),) * 2
+        for k, v, _ in patterns:
+            odds = math.log(mass[k][1]) - math.log(mass[k][0])
+            for name, x in zip(LABELERS, v, strict=True):
+                real, false = rates[k, name]
+                odds += 0 if x == 0 else math.log(real / false) if x > 0 else math.log((1 - real) / (1 - false))
+            post[k, v] = _logistic(odds)
+    return post, rates
 
 
 def classifier(rows: list[tuple], rounds: int = 30) -> list[tuple]:
-    """From (pattern, kind, votes, size, known, n): the naive Bayes probability of each feature combination."""
-    post = em([(v, k, n) for _, _, v, _, k, n in rows], rounds) if rows else {}
-    mass = [1.0, 1.0]
+    """From (pattern, kind, votes, size, n): the naive Bayes probability of each feature combination."""
+    sums: dict = {}
+    for _, kind, v, _, n in rows:
+        sums[kind, v] = sums.get((kind, v), 0) + n
+    post = em([(k, v, n) for (k, v), n in sorted(sums.items())], rounds)[0] if rows else {}
+    features = lambda pattern, kind, v, size: (
+        ("pattern", pattern), ("size", kind, size), *((name, kind, x) for name, x in zip(LABELERS, v, strict=True) if x)
+    )
     seen: list[dict] = [{}, {}]
-    for pattern, kind, v, size, k, n in rows:
-        p = post[v, k]
-        for y, w in ((1, n * p), (0, n * (1 - p))):
-            mass[y] += w
-            for f in (("kind", kind), ("size", kind, size), *((name, x) for name, x in zip(LABELERS, v, strict=True))):
+    for pattern, kind, v, size, n in rows:
+        for y, w in ((1, n * post[kind, v]), (0, n * (1 - post[kind, v]))):
+            for f in (("kind", kind), *features(pattern, kind, v, size), *((name, kind) for name, x in zip(LABELERS, v, strict=True) if x)):
                 seen[y][f] = seen[y].get(f, 0.0) + w
     out = {}
-    for pattern, kind, v, size, _, _ in rows:
-        odds = math.log(mass[1]) - math.log(mass[0])
-        for f in (("kind", kind), ("size", kind, size), *((name, x) for name, x in zip(LABELERS, v, strict=True))):
-            odds += math.log((seen[1].get(f, 0.0) + 1) / (mass[1] + 3)) - math.log((seen[0].get(f, 0.0) + 1) / (mass[0] + 3))
-        out[pattern, *v, size] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+    for pattern, kind, v, size, _ in rows:
+        of_kind = [seen[y].get(("kind", kind), 0.0) for y in (0, 1)]
+        odds = math.log(of_kind[1] + 1) - math.log(of_kind[0] + 1)
+        for f in features(pattern, kind, v, size):
+            among = f[:2] if f[0] in LABELERS else ("kind", kind)  # a labeler's votes are compared with all its votes, since 0 says nothing
+            of, all_ = ([seen[y].get(x, 0.0) for y in (0, 1)] for x in (f, among))
+            usual = sum(of) / sum(all_)  # classes without candidates take the feature as usual
+            odds += math.log((of[1] + usual) / (all_[1] + 1)) - math.log((of[0] + usual) / (all_[0] + 1))
+        out[pattern, *v, size] = _logistic(odds)
     return sorted((*k, p) for k, p in out.items())
 
 
 def _joined(spans):
     """kind:start:end by start, then kind, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     texts = F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"]))
     return F.array_join(texts, ",")
 
 
+def _longest(spans):
+    """Of sorted (start, kind, stop) structs those that don't overlap an earlier one that stays."""
+    spans_type = "array<struct<start:bigint,kind:int,stop:bigint>>"
+    start = F.array().cast(spans_type)
+    free = lambda kept, x: (F.size(kept) == 0) | (F.element_at(kept, -1)["stop"] <= x["start"])
+    return F.aggregate(F.array_sort(spans).cast(spans_type), start, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, rounds: int = 30) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, secrets, n_found.
+
+    ``spans`` holds base and added spans of the listed kinds, ``secrets`` those of keys and passwords, ``n_found`` counts both.
+    """
     spark = df.sparkSession
     voted = materialize(votes(candidates(df, id_col, text_col)).drop("before", "after"), "pii-votes")
-    features = ["pattern", "kind", *LABELERS, "size", "known"]
+    features = ["pattern", "kind", *LABELERS, "size"]
     counted = voted.where("pattern is not null").groupBy(*features).agg(F.count("*").alias("n")).collect()  # bounded, see above
-    rows = [(r["pattern"], r["kind"], tuple(r[x] for x in LABELERS), r["size"], r["known"], r["n"]) for r in counted]
+    rows = [(r["pattern"], r["kind"], tuple(r[x] for x in LABELERS), r["size"], r["n"]) for r in counted]
     table_ = classifier(rows, rounds)
     values = ", ".join(f"({', '.join(map(str, t[:-1]))}, {t[-1]!r}D)" for t in table_) or "(-1, 0, 0, 0, 0, 0, 0.0D)"
     names = ["pattern", *LABELERS, "size", "chance"]
@@ -235,18 +311,23 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     scored = voted.join(F.broadcast(scores), names[:-1], "left")
 
     span = F.struct("start", "kind", "stop")
-    base, added = F.col("base") & F.col("pattern").isNotNull(), ~F.col("base") & F.col("known").isNull() & (F.col("chance") >= threshold)
+    base, added = F.col("base") & F.col("pattern").isNotNull(), (F.col("pattern") >= 4) & (F.col("chance") >= threshold)
     counts = [F.count_if(base & (F.col("kind") == k)).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     grouped = scored.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), *counts, F.collect_list(F.when(base, span)).alias("own"), F.collect_list(F.when(added, span)).alias("new")
     )
     free = F.filter("new", lambda x: ~F.exists("own", lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
-    return grouped.withColumn("free", free).select(
+    grouped = grouped.withColumn("free", _longest(free))
+    grouped = grouped.withColumns({"listed": F.filter("free", lambda x: x["kind"] < SECRET), "secret": F.filter("free", lambda x: x["kind"] == SECRET)})
+    return grouped.select(
         "doc_id",
         *[f"n_{k}" for k in KINDS],
         F.sha2(_joined(F.col("own")), 256).alias("base_sha256"),
-        _joined(F.concat("own", "free")).alias("spans"),
-        F.size("free").cast("long").alias("n_added"),
+        _joined(F.concat("own", "listed")).alias("spans"),
+        F.size("listed").cast("long").alias("n_added"),
+        F.size("secret").cast("long").alias("n_secret"),
+        _joined(F.col("secret")).alias("secrets"),
+        (F.size("own") + F.size("free")).cast("long").alias("n_found"),
     )
 
 

@@ -214,14 +214,68 @@ def test_pii_adds_wider_spans_only_with_support(spark):
     assert all(out[i].n_added == 0 for i in range(80))
 
 
-def test_em_learns_reliabilities():
+def test_em_learns_reliabilities_without_known_classes():
     rng, counts = random.Random(4), {}
     for _ in range(4000):
         real = rng.random() < 0.3
-        v = tuple(((1 if real else -1) if rng.random() < r else (-1 if real else 1)) for r in (0.95, 0.9, 0.9, 0.5))
-        counts[v] = counts.get(v, 0) + 1
-    post = pii.em([(v, None, n) for v, n in counts.items()])
-    assert post[(1, 1, 1, -1), None] > 0.95 and post[(-1, -1, -1, 1), None] < 0.05
+        v = tuple((((1 if real else -1) if rng.random() < r else (-1 if real else 1)) if rng.random() < c else 0) for r, c in ((0.95, 1), (0.9, 0.9), (0.9, 0.6), (0.5, 1)))
+        counts[0, v] = counts.get((0, v), 0) + 1
+    post, rates = pii.em([(k, v, n) for (k, v), n in counts.items()])
+    assert post[0, (1, 1, 1, -1)] > 0.95 and post[0, (-1, -1, -1, 1)] < 0.05
+    for name, right in zip(pii.LABELERS, (0.95, 0.9, 0.9, 0.5), strict=True):
+        real, false = rates[0, name]
+        assert abs(real - right) < 0.05 and abs(1 - false - right) < 0.05
+
+
+def planted_pii(rng):
+    """(text, kind, what is planted or None) of texts that base patterns miss, and of numbers that are nobody's."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    name = "".join(rng.choices("abcdefgh", k=6))
+    host = rng.choice(["site.com", "mail.example.org", "post.de"])
+    hexes = "".join(rng.choices("0123456789abcdef", k=32))
+    forms = [
+        ("email", "mail: ", f"{name} (at) {host.replace('.', ' (dot) ')}"),
+        ("email", "write to ", f"{name}[at]{host}"),
+        ("phone", "tel. ", f"0{rng.randrange(1, 10)} {d(2)} {d(2)} {d(2)} {d(2)}"),
+        ("phone", "call ", f"({rng.randrange(2, 10)}{d(2)}) {rng.randrange(2, 10)}{d(2)}-{d(4)}"),
+        ("phone", "teléfono: ", f"6{d(2)} {d(3)} {d(3)}"),
+        ("phone", "Telefon: ", f"030 {d(7)}"),
+        ("ip", "server ", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8))),
+        ("secret", "token = ", '"' + hexes + '"'),
+        ("secret", "the key ", "AKIA" + "".join(rng.choices("ABCDEFGHIJ234567", k=16))),
+        (None, "order ", f"{d(3)} {d(3)} {d(4)}"),
+        (None, "at ", f"{rng.randrange(10, 24)}:{d(2)}:{d(2)}"),
+        (None, "version ", f"{d(1)}.{d(2)}.{d(1)}"),
+        (None, "row of ", " ".join(d(rng.randrange(1, 5)) for _ in range(9))),
+        (None, "commit ", hexes[:20]),
+        (None, "see file ", f"chapter/section{d(2)}/figure-part{d(1)}"),
+        (None, "isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
+    ]
+    return rng.choice(forms)
+
+
+def test_pii_finds_planted_spans_that_base_patterns_miss(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(3000):
+        kind, before, what = planted_pii(rng)
+        lead = f"é𝔘 some words {'x' * rng.randrange(9)} "
+        rows.append((i, lead + before + what + " and more words"))
+        if kind:
+            quoted = what.startswith('"')
+            start = len(lead + before) + quoted
+            want.add((i, kind, start, start + len(what) - 2 * quoted))
+    got = set()
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base = set(filter(None, base_spans(rows[r.doc_id][1]).split(",")))
+        for x in filter(None, [*r.spans.split(","), *r.secrets.split(",")]):
+            if x not in base:
+                kind, start, stop = x.split(":")
+                got.add((r.doc_id, kind, int(start), int(stop)))
+    assert len(got & want) / len(got) >= 0.95 and len(got & want) / len(want) >= 0.9
+    for kind in ("email", "phone", "ip", "secret"):
+        of = lambda s: {x for x in s if x[1] == kind}  # noqa: B023, E731
+        assert len(of(got) & of(want)) >= 0.85 * len(of(want)), kind
 
 
 def test_langid_mask_has_no_false_negatives():
