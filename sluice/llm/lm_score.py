@@ -1,9 +1,9 @@
 """LM scoring by context-tree weighting over bytes.
 
 The model predicts each byte of the text (A-Z lower-cased, UTF-8) and an end
-symbol, byte 0xFF, which UTF-8 never uses; contexts are the ``DEPTH`` bytes
+symbol, byte 0xFF, which UTF-8 never uses; contexts are the ``depth`` bytes
 before, padded with 0xFF. A byte is eight binary decisions. In every context s
-of every depth 0..DEPTH, each decision has a Krichevsky-Trofimov estimate Pe(s)
+of every depth 0..``depth``, each decision has a Krichevsky-Trofimov estimate Pe(s)
 from the training counts, and
 
     Pw(s) = 1/2 Pe(s) + 1/2 prod Pw(children of s)      (Pw = Pe at full depth)
@@ -12,13 +12,17 @@ so all depths are mixed; a decision's probability is that of the weighted tree.
 A context never seen has no counts and predicts 1/2, so the model needs no
 smoothing and its distribution sums to 1. ``code_length`` is bits per byte.
 
-Whole corpus, no table on the driver. Documents are dealt into blocks by hash.
-A block sends its distinct (DEPTH + 1)-grams and distinct words with training
-counts, packed, to groups dealt out by the two bytes next to the predicted one
-(so a group holds whole subtrees) or by word. A group sums the counts of all
-blocks, weights its subtrees, and sends each block the log-probabilities of
-just its own grams. Only the nodes of depth 0 and 1 are gathered: at most
-257 * 255 of them.
+Whole corpus, no table on the driver. Documents are dealt by hash into blocks of
+some ``block_bytes`` of text, one after another in a task. A block sends its distinct
+(depth + 1)-grams and distinct words with training counts, packed, to groups dealt out by
+the two bytes next to the predicted one (so a group holds whole subtrees) or by word. A
+group's messages go to as many tasks as their size asks for; each merges them as they
+come, and the group's sums are merged again, which gives the model: sorted keys with
+counts, cut between subtrees. Trees are built per piece of the model and one binary decision
+at a time. For the answers each task of a group reads the group's part of the model first
+and then sends each block, message by message, the log-probabilities of just its
+own grams. So a task holds a block's or a group's distinct keys, never their messages.
+Only the nodes of depth 0 and 1 are gathered: at most 257 * 255 of them.
 
 Defined results: null text counts as empty (its one token is the end); ids may
 be null or repeat; if there is no training row, every count is 0; an empty
@@ -39,7 +43,8 @@ from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_widt
 DEPTH = 4
 END = 0xFF
 GRAMS, WORDS = 0, 1
-_SHIFTS = [np.uint64(8 * (DEPTH - d)) for d in range(DEPTH + 1)]
+#: Entries of a piece of the model at least, where it goes on behind the next subtree.
+PIECE = 200_000
 
 
 def _log_rising(n: np.ndarray, offset: float) -> np.ndarray:
@@ -55,34 +60,34 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_rising(zeros, 0.5) + _log_rising(ones, 0.5) - _log_rising(zeros + ones, 1.0)
 
 
-def gram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def gram_keys(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(key of each predicted byte with its context, number of predictions of each text); texts are lower-cased.
 
-    Key bytes from the top: the context from the nearest byte to the farthest, then the predicted byte.
+    Key bytes from the top: the context from the nearest byte to the farthest, then the predicted byte. ``depth`` is 2 to 7.
     """
     n = len(texts)
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
     lengths = np.diff(off)
-    # DEPTH end symbols before each text, one after it; between texts the runs overlap to DEPTH in all.
-    place = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1) * DEPTH, lengths)
-    padded = np.full(len(raw) + (n + 1) * DEPTH, END, np.uint8)
+    # ``depth`` end symbols before each text, one after it; between texts the runs overlap to ``depth`` in all.
+    place = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1) * depth, lengths)
+    padded = np.full(len(raw) + (n + 1) * depth, END, np.uint8)
     padded[place] = raw
     want = np.ones(len(padded), bool)
-    ends = np.cumsum(lengths) + np.arange(1, n + 1) * DEPTH  # where each text's end symbol stands
-    for k in range(1, DEPTH):
+    ends = np.cumsum(lengths) + np.arange(1, n + 1) * depth  # where each text's end symbol stands
+    for k in range(1, depth):
         want[ends + k] = False
-    want[:DEPTH] = False
+    want[:depth] = False
     wide = padded.astype(np.uint64)
-    key = wide[DEPTH:].copy()
-    for d in range(1, DEPTH + 1):
-        key |= wide[DEPTH - d : len(wide) - d] << np.uint64(8 * (DEPTH + 1 - d))
-    return key[want[DEPTH:]], lengths + 1
+    key = wide[depth:].copy()
+    for d in range(1, depth + 1):
+        key |= wide[depth - d : len(wide) - d] << np.uint64(8 * (depth + 1 - d))
+    return key[want[depth:]], lengths + 1
 
 
-def group_of_gram(keys: np.ndarray, groups: int) -> np.ndarray:
-    return (mix64(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(groups)).astype(np.int64)
+def group_of_gram(keys: np.ndarray, groups: int, depth: int = DEPTH) -> np.ndarray:
+    return (mix64(keys >> np.uint64(8 * (depth - 1))) % np.uint64(groups)).astype(np.int64)
 
 
 def group_of_word(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -90,21 +95,21 @@ def group_of_word(keys: np.ndarray, groups: int) -> np.ndarray:
 
 
 class Tally:
-    """Distinct keys with counts, merged now and then."""
+    """Distinct keys with counts, merged whenever as many wait as there are, so the work is that of a few sorts."""
 
     def __init__(self):
         self.parts: list = []
+        self.waiting = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
-        if len(self.parts) > 6:
-            self.parts = [self.total()]
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 18, len(self.parts[0][0])):
+            self.parts, self.waiting = [self.total()], 0
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(self.parts) == 1:
-            return self.parts[0]
         return summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
@@ -123,76 +128,61 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[head], np.diff(np.append(head, len(keys)))
 
 
-class Tree:
-    """The weighted context tree over sorted distinct grams with training counts.
+def level_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, level: int, top: int = 2):
+    """The nodes of one binary decision over sorted distinct grams with training counts, whole subtrees of depth ``top``.
 
-    ``table[d][l]`` holds, for depth d and decision l, the node of each gram and the nodes' counts, log Pe and the
-    sum of the children's log Pw. With ``top`` = 2 only depths 2..DEPTH are held.
+    Returns (node at full depth of each gram, its bit, names of the nodes of depth ``top``, their log Pw, and from full
+    depth to ``top`` (parent of each node of the depth below, zeros, ones, log Pe, sum of the children's log Pw)).
+    A name is the context's bytes, then the decisions before.
     """
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int = 2):
-        self.keys, self.counts, self.top, self.table = keys, counts, top, {}
-        deeper: dict = {}
-        symbol = keys & np.uint64(0xFF)
-        for depth in range(DEPTH, top - 1, -1):
-            context = keys >> (_SHIFTS[depth] + np.uint64(8)) << np.uint64(8) if depth else np.zeros_like(keys)
-            for level in range(8):
-                name = context | (symbol >> np.uint64(8 - level))
-                if depth == DEPTH:
-                    head = np.concatenate(([True], name[1:] != name[:-1]))
-                    node, n = np.cumsum(head) - 1, int(head.sum())
-                else:
-                    _, node = np.unique(name, return_inverse=True)
-                    n = int(node.max()) + 1 if len(node) else 0
-                bit = ((symbol >> np.uint64(7 - level)) & np.uint64(1)).astype(np.int64)
-                ones = np.bincount(node, weights=counts * bit, minlength=n).astype(np.int64)
-                zeros = np.bincount(node, weights=counts * (1 - bit), minlength=n).astype(np.int64)
-                own = log_kt(zeros, ones)
-                below = None
-                if depth < DEPTH:
-                    child, weighted = deeper[level]
-                    first = np.zeros(len(weighted), np.int64)
-                    first[child] = node  # each child lies in one parent
-                    below = np.bincount(first, weights=weighted, minlength=n)
-                    mixed = np.logaddexp(own, below) - math.log(2)
-                else:
-                    mixed = own
-                deeper[level] = (node, mixed)
-                self.table[depth, level] = (node, zeros, ones, own, below)
-        self.weighted = deeper
-
-    def tops(self):
-        """(name, zeros, ones, sum of log Pw) of the nodes of depth top - 1 under which the subtrees stand.
-
-        A name is the nearest byte times 256 plus the node's number in the binary tree of a byte.
-        """
-        near = (self.keys >> np.uint64(8 * DEPTH)).astype(np.int64)
-        symbol = (self.keys & np.uint64(0xFF)).astype(np.int64)
-        for level in range(8):
-            node, weighted = self.weighted[level]
-            _, zeros, ones, _, _ = self.table[self.top, level]
-            first = np.zeros(len(weighted), np.int64)
-            first[node] = near * 256 + ((1 << level) | (symbol >> (8 - level)))
-            names, where = np.unique(first, return_inverse=True)
-            yield names, np.bincount(where, zeros).astype(np.int64), np.bincount(where, ones).astype(np.int64), np.bincount(where, weighted)
-
-    def log10_probabilities(self, upper) -> np.ndarray:
-        """log10 of each gram's probability; ``upper`` is a list of (names, zeros, ones, log beta) of depths 1 and 0."""
-        symbol = (self.keys & np.uint64(0xFF)).astype(np.int64)
-        near = (self.keys >> np.uint64(8 * DEPTH)).astype(np.int64)
-        out = np.zeros(len(self.keys))
-        for level in range(8):
-            bit = (symbol >> (7 - level)) & 1
-            p = None
-            for depth in range(DEPTH, self.top - 1, -1):
-                node, zeros, ones, own, below = self.table[depth, level]
-                p = _step(p, zeros[node], ones[node], bit, None if below is None else (own - below)[node])
-            number = (1 << level) | (symbol >> (8 - level))
-            for k, (names, zeros, ones, beta) in enumerate(upper):
-                at = np.searchsorted(names, number + (near * 256 if k == 0 else 0))
-                p = _step(p, zeros[at], ones[at], bit, beta[at])
-            out += np.log10(p)
-        return out
+    symbol = keys & np.uint64(0xFF)
+    name = keys >> np.uint64(8) << np.uint64(8) | symbol >> np.uint64(8 - level)
+    head = np.concatenate(([True], name[1:] != name[:-1]))
+    at = np.flatnonzero(head)
+    bit = ((symbol >> np.uint64(7 - level)) & np.uint64(1)).astype(np.int64)
+    ones = np.add.reduceat(counts * bit, at)
+    zeros = np.add.reduceat(counts, at) - ones
+    names, weighted = name[at], log_kt(zeros, ones)
+    tables = [(None, zeros, ones, weighted, None)]
+    for _ in range(depth - 1, top - 1, -1):
+        names, parent = np.unique(names >> np.uint64(16) << np.uint64(8) | names & np.uint64(0xFF), return_inverse=True)
+        zeros, ones = (np.bincount(parent, x, len(names)).astype(np.int64) for x in (zeros, ones))
+        own, below = log_kt(zeros, ones), np.bincount(parent, weighted, len(names))
+        weighted = np.logaddexp(own, below) - math.log(2)
+        tables.append((parent, zeros, ones, own, below))
+    return np.cumsum(head) - 1, bit, names, weighted, tables
+
+
+def top_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2):
+    """(name, zeros, ones, sum of log Pw) of the nodes of depth ``top`` - 1 under which the subtrees stand.
+
+    A name is the nearest byte times 256 plus the node's number in the binary tree of a byte.
+    """
+    for level in range(8):
+        _, _, names, weighted, tables = level_nodes(keys, counts, depth, level, top)
+        _, zeros, ones, _, _ = tables[-1]
+        number = (names & np.uint64(0xFF)).astype(np.int64) | 1 << level
+        found, where = np.unique((names >> np.uint64(8 * top)).astype(np.int64) * 256 + number, return_inverse=True)
+        yield found, np.bincount(where, zeros).astype(np.int64), np.bincount(where, ones).astype(np.int64), np.bincount(where, weighted)
+
+
+def log10_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, upper, top: int = 2) -> np.ndarray:
+    """log10 of each gram's probability; ``upper`` is a list of (names, zeros, ones, log beta) of depths 1 and 0."""
+    symbol = (keys & np.uint64(0xFF)).astype(np.int64)
+    near = (keys >> np.uint64(8 * depth)).astype(np.int64)
+    out = np.zeros(len(keys))
+    for level in range(8):
+        node, bit, _, _, tables = level_nodes(keys, counts, depth, level, top)
+        p = None
+        for parent, zeros, ones, own, below in tables:
+            node = node if parent is None else parent[node]
+            p = _step(p, zeros[node], ones[node], bit, None if below is None else (own - below)[node])
+        number = (1 << level) | (symbol >> (8 - level))
+        for k, (names, zeros, ones, beta) in enumerate(upper):
+            at = np.searchsorted(names, number + (near * 256 if k == 0 else 0))
+            p = _step(p, zeros[at], ones[at], bit, beta[at])
+        out += np.log10(p)
+    return out
 
 
 def _step(deeper, zeros, ones, bit, log_beta):
@@ -255,111 +245,145 @@ class HashTable:
         return out
 
 
-_SENT = "kind int, part int, block int, keys binary, counts binary"
+_SENT = "kind int, part int, block long, keys binary, counts binary, n long"
+_MODEL = "kind int, part int, keys binary, counts binary"
+_ANSWERS = "kind int, block long, keys binary, counts binary"
+_ARROW = {"kind": pa.int32(), "part": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "n": pa.int64()}
 
 
-def _packed(rows, names=("kind", "part", "block", "keys", "counts")):
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
+def _packed(rows: list[tuple], schema: str):
+    """Batches of rows of a schema above, of some MB each."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    at, held = 0, 0
+    for k, row in enumerate(rows):
+        held += sum(len(x) for x in row if isinstance(x, bytes))
+        if held > 4 << 20 or k - at >= 255 or k == len(rows) - 1:
+            columns = zip(*rows[at : k + 1], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[n]) for n, c in zip(names, columns, strict=True)], names=names)
+            at, held = k + 1, 0
 
 
-def _grouped(keys: np.ndarray, part: np.ndarray, parts: int):
-    order = np.argsort(part, kind="stable")  # keys are sorted, so they stay sorted in each part
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+def _rows_of(batch, names):
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def _send(parts: int):
-    """(block, training, text), whole blocks one after another, in; packed keys and training counts out."""
+def _send(parts: int, depth: int):
+    """(block, training, text), sorted by block, in; packed keys and training counts out."""
 
-    def emit(block, kind, keys, counts, group):
-        order, cut = _grouped(keys, group(keys, parts), parts)
-        keys, counts = keys[order], counts[order]
-        rows = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if a < b:
-                rows.append((kind, p, block, keys[a:b].tobytes(), counts[a:b].tobytes()))
-        for at in range(0, len(rows), 64):
-            yield _packed(rows[at : at + 64])
+    def emit(block, kind, keys, counts):
+        part = group_of_gram(keys, parts, depth) if kind == GRAMS else group_of_word(keys, parts)
+        order = np.argsort(part, kind="stable")  # keys are sorted, so they stay sorted in each part
+        keys, counts, part = keys[order], counts[order], part[order]
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else part
+        rows = [
+            (kind, int(part[a]), block, keys[a:b].tobytes(), counts[a:b].tobytes(), b - a) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=bool(len(cut)))
+        ]
+        yield from _packed(rows, _SENT)
 
     def run(batches):
-        tallies: dict[int, tuple[Tally, Tally]] = {}
+        current, grams, vocab = None, Tally(), Tally()
+
+        def close():
+            if current is not None:
+                yield from emit(current, GRAMS, *grams.total())
+                yield from emit(current, WORDS, *vocab.total())
+
         for whole in batches:
             blocks = whole.column(0).to_numpy()
-            for block in np.unique(blocks).tolist():
-                own = whole.filter(pa.array(blocks == block))
-                grams, vocab = tallies.setdefault(block, (Tally(), Tally()))
-                for batch in slices(own, 2):
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if blocks[a] != current:
+                    yield from close()
+                    current, grams, vocab = int(blocks[a]), Tally(), Tally()
+                for batch in slices(whole.slice(a, b - a), 2):
                     texts = lower_ascii(batch.column(2))
                     training = batch.column(1).to_numpy(zero_copy_only=False)
-                    keys, n = gram_keys(texts)
+                    keys, n = gram_keys(texts, depth)
                     learn = np.repeat(training, n)
-                    seen, often = counted(keys[learn])
-                    grams.add(seen, often)
+                    grams.add(*counted(keys[learn]))
                     if not training.all():
-                        seen, often = counted(keys[~learn])
+                        seen, _ = counted(keys[~learn])
                         grams.add(seen, np.zeros(len(seen), np.int64))
                     counts, codes, vocabulary = words(texts)
                     learn = np.repeat(training, counts)
                     vocab.add(*summed(hash_strings(vocabulary), np.bincount(codes[learn], minlength=len(vocabulary))))
-        for block, (grams, vocab) in tallies.items():
-            yield from emit(block, GRAMS, *grams.total(), group_of_gram)
-            yield from emit(block, WORDS, *vocab.total(), group_of_word)
+        yield from close()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _gather(batches):
-    """All packed rows of the parts of a task: (rows, keys and counts summed) for grams and words."""
-    held: dict[int, list] = {GRAMS: [], WORDS: []}
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            held[row[0]].append((row[1], row[2], np.frombuffer(row[3], np.uint64), np.frombuffer(row[4], np.int64)))
-    out = {}
-    for kind, rows in held.items():
-        tally = Tally()
-        for _, _, keys, counts in rows:
-            tally.add(keys, counts)
-        out[kind] = (rows, *tally.total())
-    return out
+def _merge(depth: int):
+    """(kind, part, keys, counts) in; the same summed by key over a whole task and cut into pieces between subtrees out."""
 
+    def run(batches):
+        tallies: dict[tuple[int, int], Tally] = {}
+        for batch in batches:
+            for kind, part, keys, counts in _rows_of(batch, ("kind", "part", "keys", "counts")):
+                tallies.setdefault((kind, part), Tally()).add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+        for (kind, part), tally in sorted(tallies.items()):
+            keys, counts = tally.total()
+            subtree = keys >> np.uint64(8 * (depth - 1)) if kind == GRAMS else keys
+            a = 0
+            while a < len(keys):
+                b = int(np.searchsorted(subtree, subtree[min(a + PIECE, len(keys)) - 1], side="right"))
+                yield from _packed([(kind, part, keys[a:b].tobytes(), counts[a:b].tobytes())], _MODEL)
+                a = b
+
+    return run
 
-def _statistics(batches):
-    """Per task: the nodes of depth 1 that its subtrees add to, and as row name -1 the words seen and distinct in training."""
-    got = _gather(batches)
-    _, keys, counts = got[GRAMS]
-    rows: list[tuple] = []
-    if len(keys):
-        for names, zeros, ones, below in Tree(keys, counts).tops():
-            rows += zip(names.tolist(), zeros.tolist(), ones.tolist(), below.tolist(), strict=True)
-    _, keys, counts = got[WORDS]
-    rows.append((-1, int(counts.sum()), int((counts > 0).sum()), 0.0))
-    columns = list(zip(*rows, strict=True))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
-        names=["name", "zeros", "ones", "below"],
-    )
 
+def _statistics(depth: int):
+    """Pieces of the model in; nodes of depth 1 that their subtrees add to, and as row name -1 the words seen and distinct in training."""
+
+    def run(batches):
+        for batch in batches:
+            for kind, keys, counts in _rows_of(batch, ("kind", "keys", "counts")):
+                keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                if kind == GRAMS:
+                    names, zeros, ones, below = (np.concatenate(x) for x in zip(*top_nodes(keys, counts, depth), strict=True))
+                else:
+                    names, zeros, ones, below = (np.array([x]) for x in (-1, counts.sum(), (counts > 0).sum(), 0.0))
+                columns = [pa.array(names, pa.int64()), pa.array(zeros, pa.int64()), pa.array(ones, pa.int64()), pa.array(below, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "zeros", "ones", "below"])
+
+    return run
+
+
+def _values(sent, depth: int):
+    """Pieces of the model in; with log10 probabilities in place of the counts of grams out."""
 
-def _answers(sent):
     def run(batches):
         upper = sent.value
-        got = _gather(batches)
-        for kind, (rows, keys, counts) in got.items():
-            if not rows:
-                continue
-            values = Tree(keys, counts).log10_probabilities(upper).astype(np.float64) if kind == GRAMS else counts
-            for at in range(0, len(rows), 64):
-                out = []
-                for part, block, own, _ in rows[at : at + 64]:
-                    mine = values[np.searchsorted(keys, own)]
-                    out.append((kind, part, block, own.tobytes(), mine.tobytes()))
-                yield _packed(out)
+        for batch in batches:
+            for kind, part, keys, counts in _rows_of(batch, ("kind", "part", "keys", "counts")):
+                if kind == GRAMS:
+                    counts = log10_probabilities(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64), depth, upper).tobytes()
+                yield from _packed([(kind, part, keys, counts)], _MODEL)
 
     return run
 
 
-def _score(total: int, distinct: int, documents: int):
+def _answers(batches):
+    """(kind, block, keys, values) of one group, by kind with the model (null block) first, in; the values of each block's keys out."""
+    of_kind, pieces, model = None, [], None
+    for batch in batches:
+        out = []
+        for kind, block, keys, values in _rows_of(batch, ("kind", "block", "keys", "counts")):
+            if kind != of_kind:
+                of_kind, pieces, model = kind, [], None
+            if block is None:
+                pieces.append((np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64 if kind == GRAMS else np.int64)))
+                continue
+            if model is None:
+                all_keys, all_values = (np.concatenate([p[k] for p in pieces]) for k in (0, 1))
+                order, pieces = np.argsort(all_keys), []
+                model = all_keys[order], all_values[order]
+            out.append((kind, block, keys, model[1][np.searchsorted(model[0], np.frombuffer(keys, np.uint64))].tobytes()))
+        yield from _packed(out, _ANSWERS)
+
+
+def _score(total: int, distinct: int, documents: int, depth: int):
     """Rows (block, kind, id, held_out, text, keys, counts), answers before documents within a block, in; scores out."""
 
     def run(batches):
@@ -386,7 +410,7 @@ def _score(total: int, distinct: int, documents: int):
 
     def one(batch, tables):
         texts = lower_ascii(batch.column(4))
-        keys, n = gram_keys(texts)
+        keys, n = gram_keys(texts, depth)
         sums = np.concatenate(([0.0], np.cumsum(tables[GRAMS].get(keys))))
         ends = np.cumsum(n)
         score = sums[ends] - sums[ends - n]
@@ -414,37 +438,71 @@ def _score(total: int, distinct: int, documents: int):
     return run
 
 
-def score_texts(df: DataFrame, train_where=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(
+    df: DataFrame,
+    train_where=None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    depth: int = DEPTH,
+    block_bytes: int = 32 << 20,
+    task_entries: int = 8_000_000,
+) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    ``train_where`` tells the rows to learn from; by default all but a seventh, by the crc32 of the id as text.
+    ``train_where`` tells the rows to learn from; by default all but a seventh, by the crc32 of the id as text. ``depth``
+    is 2 to 7 bytes. No result depends on ``block_bytes`` or on ``task_entries``, the keys in the messages of a task.
     """
+    if not 2 <= depth <= 7:
+        raise ValueError("a context has 2 to 7 bytes")
     spark = df.sparkSession
     small_batches(spark)
     parts = shuffle_width(spark)
     held = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2, F.lit(False))
     held = held if train_where is None else ~train_where
     rows = df.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-    dealt = rows.select("block", ~F.col("held_out"), "text").repartitionById(parts, F.col("block"))
-    sent = materialize(dealt.mapInArrow(_send(parts), _SENT), "lm-sent")
-    tasks = sent.repartitionById(parts, F.col("part"))
-    gathered = tasks.mapInArrow(_statistics, "name long, zeros long, ones long, below double")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("documents")).first()
+    blocks, documents = max(parts, -(-size["bytes"] // block_bytes)), size["documents"]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    home = F.pmod("block", F.lit(parts)).cast("int")
+    dealt = rows.select("block", ~F.col("held_out"), "text").repartitionById(parts, home).sortWithinPartitions("block")
+    sent = materialize(dealt.mapInArrow(_send(parts, depth), _SENT), "lm-sent")
+
+    # As many tasks for a group as its messages ask for, numbered on: a row per group is all that the driver gets.
+    sizes = sent.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    plan, tasks = [], 0
+    for part, n in sizes:
+        plan.append((part, tasks, max(1, -(-n // task_entries))))
+        tasks += plan[-1][2]
+    plan = F.broadcast(spark.createDataFrame(plan, "part int, first int, copies int"))
+    task = (F.col("first") + F.pmod(F.xxhash64("block"), F.col("copies"))).cast("int").alias("task")
+    tasks = max(1, tasks)
+    first = sent.select("kind", "part", "block", "keys", "counts").join(plan, "part").select(task, "kind", "part", "keys", "counts")
+    merged = first.repartitionById(tasks, F.col("task")).drop("task").mapInArrow(_merge(depth), _MODEL)
+    model = materialize(merged.repartitionById(parts, F.col("part")).mapInArrow(_merge(depth), _MODEL), "lm-model")
+
+    gathered = model.mapInArrow(_statistics(depth), "name long, zeros long, ones long, below double")
     stats = gathered.groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()  # at most 257 * 255 + 1 rows
-    documents = rows.where(~F.col("held_out")).count()
     total = sum(r[1] for r in stats if r[0] == -1) + documents
     distinct = sum(r[2] for r in stats if r[0] == -1) + int(documents > 0)
     nodes = [r for r in stats if r[0] >= 0]
-    upper = upper_levels(list(zip(*nodes, strict=True))) if nodes else []
-    answers = tasks.mapInArrow(_answers(spark.sparkContext.broadcast(upper)), _SENT)
+    upper = spark.sparkContext.broadcast(upper_levels(list(zip(*nodes, strict=True))) if nodes else [])
+
     no = lambda kind: F.lit(None).cast(kind)
+    valued = model.mapInArrow(_values(upper, depth), _MODEL).join(plan, "part")
+    valued = valued.select(
+        F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("task"), "kind", no("long").alias("block"), "keys", "counts"
+    )
+    asked = sent.select("kind", "part", "block", "keys").join(plan, "part").select(task, "kind", "block", "keys", no("binary").alias("counts"))
+    ready = valued.unionByName(asked).repartitionById(tasks, F.col("task")).sortWithinPartitions("kind", F.asc_nulls_first("block"))
+    answers = ready.select("kind", "block", "keys", "counts").mapInArrow(_answers, _ANSWERS)
+
     both = rows.select("block", F.lit(2).alias("kind"), "id", "held_out", "text", no("binary").alias("keys"), no("binary").alias("counts"))
     both = both.unionByName(
         answers.select("block", "kind", no("long").alias("id"), no("boolean").alias("held_out"), no("string").alias("text"), "keys", "counts")
     )
-    ready = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", "kind")
+    ready = both.repartitionById(parts, home).sortWithinPartitions("block", "kind")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return ready.mapInArrow(_score(total, distinct, documents), schema)
+    return ready.mapInArrow(_score(total, distinct, documents, depth), schema)
 
 
 def op9_context_tree(spark, sf_dir: str) -> DataFrame:

@@ -496,8 +496,8 @@ def test_decontamination_edges(spark, edge):
     assert decontaminate.contained_items(edge.limit(0), items).count() == 0
 
 
-def brute_tree(train, text):
-    depth, counts, kids = lm_score.DEPTH, {}, {}
+def brute_tree(train, text, depth=lm_score.DEPTH):
+    counts, kids = {}, {}
 
     def symbols(t):
         return [255] * depth + list(t.encode()) + [255]
@@ -555,6 +555,35 @@ def test_context_tree_equals_brute_force(spark):
         assert math.isclose(got[i], brute_tree(train, (t or "").lower()), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("depth, block_bytes, task_entries", [(2, 5, 3), (4, 40, 7), (5, 1 << 20, 1), (7, 1 << 20, 1 << 20)])
+def test_context_tree_of_any_depth_blocks_and_tasks(spark, depth, block_bytes, task_entries):
+    rng = random.Random(depth)
+    texts = ["".join(rng.choices("ab é", k=rng.randrange(25))) for _ in range(14)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = lm_score.score_texts(df, F.col("doc_id") % 5 != 2, depth=depth, block_bytes=block_bytes, task_entries=task_entries)
+    train = [t or "" for i, t in enumerate(texts) if i % 5 != 2]
+    for r in scored.collect():
+        text = texts[r.doc_id] or ""
+        assert math.isclose(r.score, brute_tree(train, text, depth), rel_tol=1e-9)
+        assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len(text.encode()) + 1))
+
+
+def test_model_pieces_hold_whole_subtrees():
+    rng = np.random.default_rng(4)
+    parts = [lm_score.counted(rng.integers(0, 1 << 40, 200_000).astype(np.uint64) & np.uint64(0x03030F0F0F)) for _ in range(4)]
+    batch = next(lm_score._packed([(lm_score.GRAMS, 3, k.tobytes(), c.tobytes()) for k, c in parts], lm_score._MODEL))
+    before, lm_score.PIECE = lm_score.PIECE, 100
+    try:
+        pieces = [row for b in lm_score._merge(4)([batch]) for row in lm_score._rows_of(b, ("keys", "counts"))]
+    finally:
+        lm_score.PIECE = before
+    keys, counts = (np.concatenate([np.frombuffer(p[k], t) for p in pieces]) for k, t in ((0, np.uint64), (1, np.int64)))
+    want = lm_score.summed(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+    assert len(pieces) > 3 and (keys == want[0]).all() and (counts == want[1]).all()
+    trees = [set((np.frombuffer(p[0], np.uint64) >> np.uint64(24)).tolist()) for p in pieces]
+    assert sum(map(len, trees)) == len(set().union(*trees))
+
+
 def test_kt_series():
     a, b = np.array([0, 1, 63, 64, 65, 500, 10**6]), np.array([0, 0, 5, 70, 64, 1, 3])
     want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(x + y + 1) for x, y in zip(a.tolist(), b.tolist())]
