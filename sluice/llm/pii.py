@@ -57,12 +57,12 @@ PATTERNS = (
     r"(?<![+0-9().-])(?<![+0-9().-]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     r"(?<![+0-9().,:/-])(?<![0-9]\x20)(?:0[1-9](?:[\x20.-][0-9]{2}){4}|[6-9][0-9]{2}(?:(?:[\x20.-][0-9]{3}){2}|(?:[\x20.-][0-9]{2}){3})"
     r"|\(?0[2-9][0-9]{1,4}\)?[\x20/-][0-9]{4,8}(?:[\x20-][0-9]{1,4})?)(?![0-9.,:/-]?[0-9])",
-    rf"(?<=(?i:{_TEL})[.:]{{0,2}}\x20{{0,2}})(?<![0-9+(])\(?[0-9][\x20().0-9/-]{{4,18}}[0-9](?![0-9])",
+    rf"(?=[(0-9])(?<![0-9+(])(?<=(?i:{_TEL})[.:]{{0,2}}\x20{{0,2}})\(?[0-9][\x20().0-9/-]{{4,18}}[0-9](?![0-9])",
     r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9./_])",
     r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
     rf"(?<!{_TOKEN})(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z]){_TOKEN}{{12,}}+={{0,2}}",
 )
-#: What a text must hold for a pattern to be worth a try.
+#: What a text must hold for a pattern to be worth a try; all but the e-mail patterns are tried on texts with a digit only.
 HINTS = (
     "@",
     r"[0-9]\.[0-9]",
@@ -71,10 +71,10 @@ HINTS = (
     r"[\[(](?:at|AT)[\])]",
     "[0-9]{3}[.-][0-9]{4}",
     r"[0-9]{2}[\x20./-][0-9]{2}",
-    rf"(?i:{_TEL})[.:\x20]{{1,4}}\(?[0-9]",
+    r"[0-9][\x20().0-9/-]{4}",
     "[0-9]{4}[./_][0-9]{4}",
     "[0-9A-Fa-f]:[0-9A-Fa-f:]",
-    rf"[0-9]{_TOKEN}*[A-Za-z]|[A-Za-z]{_TOKEN}*[0-9]",
+    rf"[0-9]{_TOKEN}|{_TOKEN}[0-9]",
 )
 OF_KIND = (0, 1, 2, 3, 0, 3, 3, 3, 2, 1, SECRET)
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
@@ -124,12 +124,12 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, pattern, start, stop, span, before, after); a row with null pattern keeps documents without any."""
     rows = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    ).withColumn("digit", F.col("text").rlike("[0-9]"))
     found = [
         F.struct(
             F.lit(k).alias("pattern"),
             F.when(
-                F.col("text").rlike(hint), F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 0).alias("span"), F.split("text", p, -1).alias("gap"))
+                (F.lit(True) if k in (0, 4) else F.col("digit")) & F.col("text").rlike(hint), F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 0).alias("span"), F.split("text", p, -1).alias("gap"))
             ).alias("pieces"),
         )
         for k, (p, hint) in enumerate(zip(PATTERNS, HINTS, strict=True))
