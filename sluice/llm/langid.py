@@ -171,15 +171,16 @@ class BitSlicedBloom:
             out = got if out is None else out & got
         return out
 
-    def counts(self, grams: np.ndarray, by_text, n: np.ndarray) -> np.ndarray:
-        """(language, text): the corrected hits of a text's n-grams, added up over the tiers; ``by_text`` adds up hits."""
-        out = np.zeros((len(self.langs), len(n)))
+    def counts(self, grams: np.ndarray, owner: np.ndarray, words_: int) -> np.ndarray:
+        """(language, word): the corrected hits of the n-grams of each word, added up over the tiers."""
+        out = np.zeros((len(self.langs), words_))
         masks = [self.holds(grams, plane) for plane in range(self.planes)]
+        n = np.bincount(owner, minlength=words_)
         for tier in range(len(TIERS)):
             for lang in range(len(self.langs)):
                 plane, shift = self.place(lang, tier)
-                hits, false = by_text((masks[plane] & self.table.dtype.type(1 << shift)) != 0), self.false[tier, lang]
-                out[lang] += np.maximum(0, hits - n * false) / max(1e-9, 1 - false)
+                hit, false = (masks[plane] & self.table.dtype.type(1 << shift)) != 0, self.false[tier, lang]
+                out[lang] += (np.bincount(owner[hit], minlength=words_) - n * false) / max(1e-9, 1 - false)
         return out
 
 
@@ -202,7 +203,9 @@ def _predict_batches(model):
                     names, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
                     lead = score
                 else:
-                    right = bloom.counts(grams, lambda hit: by_text(np.bincount(owner[hit], minlength=len(vocabulary))), n) / len(TIERS)
+                    # In whole parts of 2 ** -20, so that sums are exact and don't depend on the other texts of a batch.
+                    of_words = np.rint(bloom.counts(grams, owner, len(vocabulary)) * 2.0**20).astype(np.int64)
+                    right = np.maximum(0, np.stack([by_text(w) for w in of_words])) / (2.0**20 * len(TIERS))
                     ranked = right[bloom.order]
                     first = ranked.argmax(axis=0)
                     best, most = bloom.order[first], ranked.max(axis=0) * lettered
