@@ -78,7 +78,90 @@ def task_context() -> dict:
     return {} if at is None else {"partition": at.partitionId(), "attempt": at.attemptNumber(), "stage": at.stageId(), "resources": at.resources()}
 
 
+class Task:
+    """A task with a life cycle, for ``run_task``: one instance lives in each partition.
+
+    ``prepare`` gets the task's context, ``compute`` each Arrow batch as a frame, ``end`` follows the last one and ``close`` runs
+    in any case. ``compute`` and ``end`` give out frames by ``write``, to a named edge where there are several.
+    """
+
+    def prepare(self, context: dict) -> None:
+        pass
+
+    def compute(self, frame: pd.DataFrame) -> None:
+        raise NotImplementedError
+
+    def end(self) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+    def write(self, frame: pd.DataFrame, edge: str = "") -> None:
+        self.__dict__.setdefault("_written", []).append((edge, frame))
+
+
+def run_task(df: DataFrame, task: Callable[[], Task], schema: str, edges: list[str] | None = None, edge: str = "__edge"):
+    """Run ``task()`` in each partition: a frame, or with ``edges`` a dict of frames that share one pass, see ``release``."""
+
+    def run(frames):
+        own = task()
+        own.prepare(task_context())
+
+        def out():
+            for to, frame in own.__dict__.pop("_written", []):
+                yield frame.assign(**{edge: to}) if edges else frame
+
+        try:
+            for frame in frames:
+                own.compute(frame)
+                yield from out()
+            own.end()
+            yield from out()
+        finally:
+            own.close()
+
+    if not edges:
+        return df.mapInPandas(run, schema)
+    whole = df.mapInPandas(run, f"{schema}, `{edge}` string").persist()
+    outputs = {name: whole.where(F.col(edge) == name).drop(edge) for name in edges}
+    _shared.extend((f, whole) for f in outputs.values())
+    return outputs
+
+
+def reduce_task(start: Callable[[], object], step: Callable[[object, pd.DataFrame], object], finish: Callable[[object], pd.DataFrame]) -> Callable[[], Task]:
+    """A typed task: fold the frames of a partition and write the result at its end."""
+
+    class Fold(Task):
+        def prepare(self, context):
+            self.state = start()
+
+        def compute(self, frame):
+            self.state = step(self.state, frame)
+
+        def end(self):
+            self.write(finish(self.state))
+
+    return Fold
+
+
 def multi_output(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tags: list[str], tag: str = "tag") -> dict[str, DataFrame]:
-    """One pass with several outputs: ``fn`` names each row's output in column ``tag``; the frames share a cached result."""
+    """One pass with several outputs: ``fn`` names each row's output in column ``tag``; the frames share a cached result.
+
+    The cache spills to disk and is freed by ``release`` once the outputs have been used.
+    """
     out = map_pandas(df, fn, schema).persist()
-    return {name: out.where(F.col(tag) == name).drop(tag) for name in tags}
+    outputs = {name: out.where(F.col(tag) == name).drop(tag) for name in tags}
+    _shared.extend((f, out) for f in outputs.values())
+    return outputs
+
+
+_shared: list = []
+
+
+def release(outputs: dict[str, DataFrame]) -> None:
+    """Free the cached pass behind the outputs of ``multi_output`` or ``run_task``."""
+    own = {id(f) for f in outputs.values()}
+    for at in range(len(_shared) - 1, -1, -1):
+        if id(_shared[at][0]) in own:
+            _shared.pop(at)[1].unpersist()

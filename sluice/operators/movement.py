@@ -49,9 +49,9 @@ def range_partition(df: DataFrame, *keys, n: int | None = None, sort: bool = Fal
 def gather(df: DataFrame, index: str = "source") -> DataFrame:
     """All rows on one partition, each with the partition it came from.
 
-    For small results: the contract of a gather is that one task sees every row.
+    For small results: the contract of a gather is that one task sees every row. What comes before keeps its own tasks.
     """
-    return df.withColumn(index, F.spark_partition_id()).coalesce(1)
+    return df.withColumn(index, F.spark_partition_id()).repartition(1)
 
 
 def all_gather(df: DataFrame, targets: int, index: str = "source", target: str = "target") -> DataFrame:
@@ -69,6 +69,52 @@ def union(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, others, first)
 
 
+class Partitioner:
+    """A partitioner with a life of its own, for ``partition_with``: ``prepare`` learns the numbers of partitions on both
+    sides, ``partition`` gives the target as an expression, ``commit`` is called when the exchange has been planned."""
+
+    def prepare(self, sources: int, destinations: int) -> None:
+        self.sources, self.destinations = sources, destinations
+
+    def partition(self, df: DataFrame) -> Column:
+        raise NotImplementedError
+
+    def commit(self) -> None:
+        pass
+
+
+class OneToOne(Partitioner):
+    """Source partition i to destination i; the numbers must be equal."""
+
+    def prepare(self, sources: int, destinations: int) -> None:
+        super().prepare(sources, destinations)
+        if sources != destinations:
+            raise ValueError(f"{sources} sources for {destinations} destinations")
+
+    def partition(self, df: DataFrame) -> Column:
+        return F.spark_partition_id()
+
+
+def partition_with(df: DataFrame, partitioner: Partitioner, n: int) -> DataFrame:
+    """An exchange to ``n`` partitions by a ``Partitioner``."""
+    partitioner.prepare(df.rdd.getNumPartitions() if not df.isStreaming else n, n)
+    out = partition(df, partitioner.partition(df), n)
+    partitioner.commit()
+    return out
+
+
+def table_partition(df: DataFrame, column: int, n: int) -> DataFrame:
+    """Rows, moved as Arrow tables, to ``n`` partitions by the hash of the column at an index; null keys go to partition 0."""
+    key = F.col(df.columns[column])
+    target = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(n)))
+    return partition(df, target, n)
+
+
+def table_pipe(df: DataFrame, fn=None) -> DataFrame:
+    """Each Arrow table of a partition through ``fn`` (RecordBatch to RecordBatch of the same schema), task i to task i."""
+    return df.mapInArrow(lambda batches: (fn(b) if fn else b for b in batches), df.schema)
+
+
 def source_sequence(df: DataFrame, source: str, order: str, seq: str = "seq") -> DataFrame:
     """Number the rows of each source from 0: the rounds of lock-step streaming operators."""
     return df.withColumn(seq, F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1)

@@ -106,6 +106,12 @@ def expired_rows(df: DataFrame, length: int, slide: int, order: list, value: str
     return marks.where(F.col("__m.window_id") <= F.col("__fired")).select(*keys, "__m.window_id", "__m.kind", value)
 
 
+def global_windows(df: DataFrame, every: int, order: list, value: str, keys: list[str]) -> DataFrame:
+    """One window per key over all its rows, which never closes: (keys, firing, n, last) at every ``every``-th row."""
+    rows = _sequence(df, order, keys).where(F.col("__rn") % every == 0)
+    return rows.select(*keys, (F.col("__rn") / every).cast("long").alias("firing"), F.col("__rn").cast("long").alias("n"), F.col(value).alias("last"))
+
+
 def session_windows(df: DataFrame, ts: str, gap: str, keys: list[str], **measures: Column) -> DataFrame:
     """Sessions that end after ``gap`` without a row."""
     return df.groupBy(*keys, F.session_window(ts, gap).alias("__s")).agg(*[m.alias(n) for n, m in measures.items()]).select(

@@ -19,7 +19,7 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import queries as _all  # noqa: F401  registers
+    from . import graph_queries, source_queries, stream_queries  # noqa: F401  they register
 
     return dict(_QUERIES)
 

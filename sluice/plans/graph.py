@@ -38,8 +38,10 @@ def vertex_centric(vertices: DataFrame, edges: DataFrame, message: Column, combi
         return new.select("id", F.col("new").alias("value"), active.alias("active"))
 
     until = None if changed is None else (lambda _old, new: new.where("active").isEmpty())
-    out = iterate(state, step, rounds, until=until)
-    return out.select("id", "value")
+    try:
+        return iterate(state, step, rounds, every=1, until=until).select("id", "value")  # every round is written
+    finally:
+        edges.unpersist()
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
@@ -60,7 +62,10 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float
         )
 
     # Each round reads its state twice (the lost mass, the messages), so lineage is cut every round.
-    return iterate(cut(state), step, rounds, every=1).select("id", "rank")
+    try:
+        return iterate(cut(state), step, rounds, every=1).select("id", "rank")
+    finally:
+        links.unpersist()
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,14 +12,21 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read again: lineage ends here."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-iterate-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read again: lineage ends here."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +51,9 @@ class Variables:
         self.spark, self.path, self.values = spark, path, {}
         found = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = found.getFileSystem(spark._jsc.hadoopConfiguration())
+        spare = spark._jvm.org.apache.hadoop.fs.Path(path + ".old")
+        if not self._fs.exists(found) and self._fs.exists(spare):
+            found = spare  # a commit was cut off between its two renames
         if self._fs.exists(found):
             stream = self._fs.open(found)
             try:
@@ -59,12 +70,16 @@ class Variables:
         self.values[name] = value
 
     def commit(self) -> None:
-        new, old = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (self.path + ".new", self.path))
+        new, own, spare = (self.spark._jvm.org.apache.hadoop.fs.Path(self.path + x) for x in (".new", "", ".old"))
         stream = self._fs.create(new, True)
         stream.write(bytearray(json.dumps(self.values).encode()))
         stream.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        # The values of the commit before stay readable until the new ones are in place.
+        if self._fs.exists(own):
+            self._fs.delete(spare, False)
+            self._fs.rename(own, spare)
+        self._fs.rename(new, own)
+        self._fs.delete(spare, False)
 
 
 def connected(jobs: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], inputs: dict[str, list[str]], parallel: int = 1) -> dict[str, DataFrame]:

@@ -32,7 +32,10 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, features: str = "x") ->
 
 def kmeans(points: DataFrame, centroids: DataFrame, rounds: int, features: str = "x") -> DataFrame:
     points = points.persist()
-    return iterate(centroids, lambda c, _k: kmeans_step(points, c, features), rounds, every=1)
+    try:
+        return iterate(centroids, lambda c, _k: kmeans_step(points, c, features), rounds, every=1)  # every round is written, so points are done with
+    finally:
+        points.unpersist()
 
 
 def train_svm(rows: DataFrame, alpha: float = 0.001, rounds: int = 1, label: str = "label", features: str = "x") -> DataFrame:
@@ -67,7 +70,7 @@ def terasort(rows: DataFrame, key: str = "key", n: int | None = None) -> DataFra
 
 
 def terasort_check(rows: DataFrame, key: str = "key") -> DataFrame:
-    return sorting.is_sorted(rows, key)
+    return sorting.sort_check(rows, key)
 
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:

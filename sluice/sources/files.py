@@ -23,15 +23,26 @@ def parallelize_map(spark: SparkSession, items: dict, schema="key string, value
 
 
 def text(spark: SparkSession, path: str, mode: str = "split", copies: int = 1) -> DataFrame:
-    """Lines of text files. "split" deals the lines out; "complete" gives every one of ``copies`` tasks all of them."""
+    """Lines of text files. "split" deals the lines out; "complete" (or "shared") gives every one of ``copies`` tasks all of them."""
     lines = spark.read.text(path)
     if mode == "split":
         return lines
-    if mode == "complete":
+    if mode in ("complete", "shared"):
         return lines.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     raise ValueError(f"mode is split or complete, not {mode}")
 
 
+def text_by_lines(spark: SparkSession, path: str, lines: int, name: str = "split") -> DataFrame:
+    """Lines of a text file in splits of ``lines`` consecutive lines, one split a task: (split, value).
+
+    Hadoop's line-count splits: the driver scans the file for the splits' borders, tasks read their own part.
+    """
+    kinds = ("org.apache.hadoop.mapreduce.lib.input.NLineInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    conf = {"mapreduce.input.lineinputformat.linespermap": str(lines)}
+    rows = hadoop(spark, path, *kinds, "offset long, value string", conf)
+    return rows.select(F.spark_partition_id().alias(name), "value")
+
+
 def csv(spark: SparkSession, path: str, schema=None, delimiter: str = ",", header: bool = False) -> DataFrame:
     """Typed columns with a schema; without one, each line split at the delimiter, without quoting, as an array."""
     if schema is not None:

@@ -15,16 +15,36 @@ def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trig
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
+def arrow_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the Arrow IPC files of a folder: Spark lists them, tasks read their batches by range."""
+    from ..sources.custom import _opened
+
+    def read(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with _opened(name) as (reader, count):
+                    yield from reader if count is None else (reader.get_batch(k) for k in range(count))
+
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    return files(spark, path, kinds, "binaryFile").select("path").mapInArrow(read, schema)
+
+
 def rate(spark: SparkSession, per_second: int, **columns: Column) -> DataFrame:
     base = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
     return base.select(*[c.alias(n) for n, c in columns.items()]) if columns else base
 
 
-def kafka(spark: SparkSession, servers: str, topics: str, starting: str = "earliest", **options) -> DataFrame:
-    """Needs Spark's Kafka package on the class path; offsets live in the query's checkpoint and resume after the last."""
+def kafka_reader(spark: SparkSession, servers: str, topics: str, starting: str = "earliest", **options):
+    """The configured reader; ``options`` are Kafka's or Spark's own, with ``__`` for dots."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting)
     for key, value in options.items():
-        reader = reader.option(key, value)
+        reader = reader.option(key.replace("__", "."), value)
+    return reader
+
+
+def kafka(spark: SparkSession, servers: str, topics: str, starting: str = "earliest", **options) -> DataFrame:
+    """Needs Spark's Kafka package on the class path; offsets live in the query's checkpoint and resume after the last."""
+    reader = kafka_reader(spark, servers, topics, starting, **options)
     return reader.load().select("topic", "partition", "offset", "timestamp", F.col("key").cast("string"), F.col("value").cast("string"))
 
 
@@ -48,6 +68,7 @@ def keyed_reduce(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFr
 
 
 def keyed_gather(df: DataFrame, keys: list[str], value: str, name: str = "values") -> DataFrame:
+    """All values of each key so far. State grows with the stream; ``stateful.keyed_gather`` hands values on in parts and sheds them."""
     return df.groupBy(*keys).agg(F.collect_list(value).alias(name))
 
 
@@ -73,6 +94,14 @@ def processing_time_windows(df: DataFrame, length: str, slide: str | None = None
     return event_time_windows(df.withColumn("__now", F.current_timestamp()), "__now", length, slide, keys=keys, **aggregates)
 
 
+def join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, within: str, lateness: str = "0 seconds", how: str = "inner") -> DataFrame:
+    """Rows of two streams with equal keys whose times are at most ``within`` apart; watermarks let old rows leave the state."""
+    a = left.withWatermark(left_ts, lateness).alias("l")
+    b = right.withWatermark(right_ts, lateness).alias("r")
+    near = F.expr(f"r.`{right_ts}` BETWEEN l.`{left_ts}` - INTERVAL {within} AND l.`{left_ts}` + INTERVAL {within}")
+    return a.join(b, (F.col(f"l.{on}") == F.col(f"r.{on}")) & near, how)
+
+
 def custom(spark: SparkSession, name: str, rows, columns: str, per_trigger: int = 1000) -> DataFrame:
     """A stream of the tuples ``rows(i)`` for i = 0, 1, ...; None ends what is there for now.
 

@@ -2,12 +2,14 @@
 
 State is kept by ``applyInPandasWithState`` in Spark's state store and restored from the query's checkpoint. A key's
 rows of a micro-batch are put in order of a sequence column, since their order of arrival is not kept by a shuffle.
-Numbers are carried as doubles.
+Values are carried in state and results with the type of their column; a null value is carried as null.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,29 @@ def _ordered(frames, order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
+def _plain(values) -> list:
+    """The values as Python objects of their own type."""
+    return [None if x is None or x is pd.NaT or x is pd.NA else x.item() if hasattr(x, "item") else x for x in values]
+
+
+def _typed(df: DataFrame, value: str, seq: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` with the value as __value, whole numbers in a form that pandas takes along with nulls without turning them into
+    doubles, and the order as __seq; and the value's type."""
+    kind = df.schema[value].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    out = df.withColumn("__value", F.col(value).cast("string") if whole else F.col(value))
+    return (out if seq is None else out.withColumn("__seq", F.col(seq))), kind
+
+
+def _values(kind: str) -> Callable:
+    """From a column as ``_typed`` sends it to Python values of type ``kind``."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return lambda column: [None if x is None else int(x) for x in _plain(column)]
+    if kind in ("double", "float"):
+        return lambda column: [None if x is None or x != x else float(x) for x in _plain(column)]
+    return _plain
+
+
 def _keyed(df: DataFrame, key: str | None) -> tuple[DataFrame, str, str]:
     """A frame with a key; without one a single sequence, one task's work by definition."""
     if key is not None:
@@ -36,12 +61,14 @@ def count_windows(df: DataFrame, length: int, slide: int | None = None, value: s
     """
     slide = slide or length
     df, name, kind = _keyed(df, key)
+    df, of = _typed(df, value, seq)
+    read = _values(of)
 
     def step(k, frames, state):
         seen, held, before = state.get if state.exists else (0, [], [])
-        held, before, out = list(held), list(before), []
-        for x in _ordered(frames, [seq])[value]:
-            seen, held = seen + 1, [*held, float(x)][-(length + slide) :]
+        held, before, out = _plain(held), _plain(before), []
+        for x in read(_ordered(frames, ["__seq"])["__value"]):
+            seen, held = seen + 1, [*held, x][-(length + slide) :]
             if seen % slide == 0:
                 now = held[-min(length, seen) :]
                 # ``before`` holds the last window; what is not among the values still in reach has expired.
@@ -51,10 +78,10 @@ def count_windows(df: DataFrame, length: int, slide: int | None = None, value: s
         state.update((seen, held, before))
         yield pd.DataFrame(out, columns=[name, "window_id", "values", "fresh", "expired"])
 
-    out = df.select(name, value, seq).groupBy(name).applyInPandasWithState(
+    out = df.select(name, "__value", "__seq").groupBy(name).applyInPandasWithState(
         step,
-        f"`{name}` {kind}, window_id long, values array<double>, fresh array<double>, expired array<double>",
-        "seen long, held array<double>, before array<double>",
+        f"`{name}` {kind}, window_id long, values array<{of}>, fresh array<{of}>, expired array<{of}>",
+        f"seen long, held array<{of}>, before array<{of}>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -64,19 +91,21 @@ def count_windows(df: DataFrame, length: int, slide: int | None = None, value: s
 def late_rows(df: DataFrame, ts: str, value: str, lag_us: int, seq: str = "seq", key: str | None = None) -> DataFrame:
     """(key, seq, value, us, is_late): a row is late if it is behind the greatest timestamp before it minus the lag."""
     df, name, kind = _keyed(df.withColumn("__us", micros(df, ts)), key)
+    df, of = _typed(df, value)
+    read = _values(of)
 
     def step(k, frames, state):
         top = state.get[0] if state.exists else None
         rows = _ordered(frames, [seq])
         out = []
-        for s, v, us in zip(rows[seq], rows[value], rows["__us"], strict=True):
-            out.append((k[0], int(s), float(v), int(us), top is not None and us < top - lag_us))
+        for s, v, us in zip(rows[seq], read(rows["__value"]), rows["__us"], strict=True):
+            out.append((k[0], int(s), v, int(us), top is not None and us < top - lag_us))
             top = int(us) if top is None else max(top, int(us))
         state.update((top,))
         yield pd.DataFrame(out, columns=[name, "seq", "value", "us", "is_late"])
 
-    out = df.select(name, value, F.col(seq).alias(seq), "__us").groupBy(name).applyInPandasWithState(
-        step, f"`{name}` {kind}, seq long, value double, us long, is_late boolean", "top long", "append", GroupStateTimeout.NoTimeout
+    out = df.select(name, "__value", F.col(seq).alias(seq), "__us").groupBy(name).applyInPandasWithState(
+        step, f"`{name}` {kind}, seq long, value {of}, us long, is_late boolean", "top long", "append", GroupStateTimeout.NoTimeout
     )
     return out if key is not None else out.drop(name)
 
@@ -106,38 +135,130 @@ def watermark(df: DataFrame, ts: str, source: str, sources: list, lag_us: int, s
     return rows.groupBy("__all").applyInPandasWithState(step, "watermark long", "tops array<long>, sent long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rounds(df: DataFrame, source: str, sources: list, value: str, seq: str = "seq", fold: Callable[[float, float], float] | None = None, copies: int = 1) -> DataFrame:
+def rounds(
+    df: DataFrame, source: str, sources: list, value: str, seq: str = "seq", fold: Callable | None = None, copies: int = 1, number: str | None = None
+) -> DataFrame:
     """Lock-step rounds: round r takes the r-th row of every source.
 
     Without ``fold`` a gather, (round, values) with the values in the order of ``sources``; with it a reduction,
-    (round, value). ``copies`` > 1 sends each round to that many receivers, as the all- forms do.
+    (round, value). ``copies`` > 1 sends each round to that many receivers, as the all- forms do. Where the sources number
+    their own rows, name that column in ``number``: rounds are then handled apart, by as many tasks as there are partitions,
+    and a round's state ends with it. Without it only one task can tell which row is whose r-th.
     """
+    df, of = _typed(df, value)
+    read = _values(of)
+    schema = f"round long, values array<{of}>" if fold is None else f"round long, value {of}"
+
+    def result(at, first):
+        if fold is None:
+            return at, first
+        total = first[0]
+        for x in first[1:]:
+            total = fold(total, x)
+        return at, total
+
+    columns = ["round", "values" if fold is None else "value"]
+    if number is not None:
+
+        def one_round(k, frames, state):
+            got, places = state.get if state.exists else ([], [])
+            got, places = _plain(got), _plain(places)
+            rows = pd.concat(list(frames))
+            got, places = got + read(rows["__value"]), places + [sources.index(s) for s in rows[source]]
+            if len(set(places)) < len(sources):
+                state.update((got, places))
+                return
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([result(int(k[0]), [got[places.index(i)] for i in range(len(sources))])], columns=columns)
+
+        rows = df.select(F.col(number).cast("long").alias("__round"), source, "__value").groupBy("__round")
+        out = rows.applyInPandasWithState(one_round, schema, f"got array<{of}>, places array<int>", "append", GroupStateTimeout.NoTimeout)
+    else:
+
+        def step(k, frames, state):
+            done, queues = state.get if state.exists else (0, [])
+            waiting = [_plain(q) for q in queues] or [[] for _ in sources]
+            rows = _ordered(frames, ["__seq"])
+            for s, v in zip(rows[source], read(rows["__value"]), strict=True):
+                waiting[sources.index(s)].append(v)
+            ready = min(map(len, waiting))
+            out = [result(done + r, [q[r] for q in waiting]) for r in range(ready)]
+            state.update((done + ready, [q[ready:] for q in waiting]))
+            yield pd.DataFrame(out, columns=columns)
+
+        rows = df.select(F.lit(0).alias("__all"), source, F.col(seq).alias("__seq"), "__value").groupBy("__all")
+        out = rows.applyInPandasWithState(step, schema, f"done long, waiting array<array<{of}>>", "append", GroupStateTimeout.NoTimeout)
+    return out if copies == 1 else out.withColumn("receiver", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+
+def keyed_gather(df: DataFrame, key: str, value: str, limit: int, seq: str = "seq") -> DataFrame:
+    """(key, part, values): a key's values in order, handed on whenever there are ``limit`` of them, so state stays below that."""
+    df, of = _typed(df, value, seq)
+    read, kind = _values(of), df.schema[key].dataType.simpleString()
 
     def step(k, frames, state):
-        done, queues = state.get if state.exists else (0, [])
-        waiting = [list(q) for q in queues] or [[] for _ in sources]
-        rows = _ordered(frames, [seq])
-        for s, v in zip(rows[source], rows[value], strict=True):
-            waiting[sources.index(s)].append(float(v))
-        out = []
-        while all(waiting):
-            first = [q.pop(0) for q in waiting]
-            if fold is None:
-                out.append((done, first))
-            else:
-                total = first[0]
-                for x in first[1:]:
-                    total = fold(total, x)
-                out.append((done, total))
-            done += 1
-        state.update((done, waiting))
-        yield pd.DataFrame(out, columns=["round", "values" if fold is None else "value"])
-
-    schema = "round long, values array<double>" if fold is None else "round long, value double"
-    out = df.select(F.lit(0).alias("__all"), source, seq, value).groupBy("__all").applyInPandasWithState(
-        step, schema, "done long, waiting array<array<double>>", "append", GroupStateTimeout.NoTimeout
-    )
-    return out if copies == 1 else out.withColumn("receiver", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        part, held = state.get if state.exists else (0, [])
+        held, out = _plain(held) + read(_ordered(frames, ["__seq"])["__value"]), []
+        at = 0
+        while len(held) - at >= limit:
+            out.append((k[0], part, held[at : at + limit]))
+            part, at = part + 1, at + limit
+        state.update((part, held[at:]))
+        yield pd.DataFrame(out, columns=[key, "part", "values"])
+
+    rows = df.select(key, "__value", "__seq").groupBy(key)
+    return rows.applyInPandasWithState(step, f"`{key}` {kind}, part long, values array<{of}>", f"part long, held array<{of}>", "append", GroupStateTimeout.NoTimeout)
+
+
+def global_windows(df: DataFrame, key: str, value: str, every: int, seq: str = "seq") -> DataFrame:
+    """One window per key over all its rows, which never closes: (key, firing, n, last) at every ``every``-th row."""
+    df, of = _typed(df, value, seq)
+    read, kind = _values(of), df.schema[key].dataType.simpleString()
+
+    def step(k, frames, state):
+        seen, out = state.get[0] if state.exists else 0, []
+        for x in read(_ordered(frames, ["__seq"])["__value"]):
+            seen += 1
+            if seen % every == 0:
+                out.append((k[0], seen // every, seen, x))
+        state.update((seen,))
+        yield pd.DataFrame(out, columns=[key, "firing", "n", "last"])
+
+    rows = df.select(key, "__value", "__seq").groupBy(key)
+    return rows.applyInPandasWithState(step, f"`{key}` {kind}, firing long, n long, last {of}", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+@dataclass(frozen=True)
+class WindowParams:
+    """A window's length and slide, each as a number of rows or as microseconds, and its lag, for ``windows_by``."""
+
+    length: int | None = None
+    length_us: int | None = None
+    slide: int | None = None
+    slide_us: int | None = None
+    lag_us: int = 0
+
+    @classmethod
+    def tumbling_count(cls, n: int) -> WindowParams:
+        return cls(length=n, slide=n)
+
+    @classmethod
+    def sliding_count(cls, n: int, slide: int) -> WindowParams:
+        return cls(length=n, slide=slide)
+
+    @classmethod
+    def tumbling_time(cls, us: int, lag_us: int = 0) -> WindowParams:
+        return cls(length_us=us, slide_us=us, lag_us=lag_us)
+
+    @classmethod
+    def sliding_time(cls, us: int, slide_us: int, lag_us: int = 0) -> WindowParams:
+        return cls(length_us=us, slide_us=slide_us, lag_us=lag_us)
+
+
+def windows_by(df: DataFrame, params: WindowParams, ts: str, value: str, seq: str = "seq", key: str | None = None) -> DataFrame:
+    """``event_windows`` with its policies as one value."""
+    return event_windows(df, ts, value, params.lag_us, params.length, params.length_us, params.slide, params.slide_us, seq, key)
 
 
 def custom(df: DataFrame, keys: list[str], step, out_schema, state_schema, mode: str = "append", timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
@@ -171,53 +292,64 @@ def event_windows(
     if (length is None) == (length_us is None) or (slide is None) == (slide_us is None):
         raise ValueError("name one length and one slide, each as rows or as a time")
     df, name, kind = _keyed(df.withColumn("__us", micros(df, ts)), key)
-
-    def members(rows, end_us, upto):
-        held = rows[:upto]
-        return held[-length:] if length is not None else [r for r in held if r[0] > end_us - length_us]
+    df, of = _typed(df, value)
+    read = _values(of)
 
     def step(k, frames, state):
         top, passed, fired, us, order, values = state.get if state.exists else (None, 0, None, [], [], [])
-        rows, out = list(zip(us, order, values, strict=True)), []  # rows[:passed] are behind the watermark
+        rows, out = list(zip(_plain(us), _plain(order), _plain(values), strict=True)), []  # rows[:passed] are behind the watermark
         mark = None if top is None else top - lag_us
-        for s, v, t in _ordered(frames, [seq])[[seq, value, "__us"]].itertuples(index=False):
+        frame = _ordered(frames, [seq])
+        for s, v, t in zip(frame[seq], read(frame["__value"]), frame["__us"], strict=True):
             if mark is not None and t < mark:
-                out.append((k[0], "late", int(t), [float(v)]))
+                out.append((k[0], "late", int(t), [v]))
             else:
-                rows.append((int(t), int(s), float(v)))
+                rows.append((int(t), int(s), v))
                 top = int(t) if top is None else max(top, int(t))
                 mark = top - lag_us
-        rows = rows[:passed] + sorted(rows[passed:])
-        ready = passed + sum(r[0] <= mark for r in rows[passed:]) if mark is not None else passed
+        rows = rows[:passed] + sorted(rows[passed:], key=lambda r: r[:2])
+        stamps = [r[0] for r in rows]  # in order; members are found by bisection, so a firing costs no more than its members
+
+        def upto(end_us):
+            return bisect_right(stamps, end_us)
+
+        def members(end_us, stop):
+            return rows[max(0, stop - length) : stop] if length is not None else rows[upto(end_us - length_us) : stop]
+
+        ready = max(passed, upto(mark)) if mark is not None else passed
         if slide is not None:
             seen = fired or 0
             for i in range(passed, ready):
                 seen += 1
                 if seen % slide == 0:
-                    out.append((k[0], "window", seen // slide, [r[2] for r in members(rows[: i + 1], rows[i][0], i + 1)]))
-            fired, keep_us = seen, rows[ready - 1][0] if ready else None
+                    out.append((k[0], "window", seen // slide, [r[2] for r in members(stamps[i], i + 1)]))
+            fired, keep_us = seen, stamps[ready - 1] if ready else None
         else:
             if fired is None and rows:
-                fired = -(-rows[0][0] // slide_us) * slide_us - slide_us
+                # Rows may yet come before the first one, but not behind the watermark.
+                fired = min(-(-stamps[0] // slide_us) * slide_us - slide_us, mark // slide_us * slide_us)
             while rows and fired + slide_us <= mark:
                 fired += slide_us
-                inside = members(rows, fired, sum(r[0] <= fired for r in rows))
+                inside = members(fired, upto(fired))
                 if inside:
                     out.append((k[0], "window", fired, [r[2] for r in inside]))
-                elif ready == len(rows):
-                    fired = max(fired, mark // slide_us * slide_us)  # nothing is left to fall into later windows
+                else:
+                    # On to just before the next row's window, but not past the watermark: rows may yet come between.
+                    after = upto(fired)
+                    following = -(-stamps[after] // slide_us) * slide_us - slide_us if after < len(rows) else mark
+                    fired = max(fired, min(following, mark // slide_us * slide_us))
             keep_us = fired
-        need = max(0, ready - length) if length is not None else sum(keep_us is not None and r[0] <= keep_us - length_us for r in rows[:ready])
+        need = max(0, ready - length) if length is not None else 0 if keep_us is None else min(ready, upto(keep_us - length_us))
         if slide_us is not None and length is not None:
-            need = max(0, sum(r[0] <= (fired if fired is not None else r[0] - 1) for r in rows) - length)
+            need = max(0, (upto(fired) if fired is not None else 0) - length)
         rows = rows[need:]
         state.update((top, ready - need, fired, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
         yield pd.DataFrame(out, columns=[name, "kind", "at", "values"])
 
-    out = df.select(name, value, F.col(seq).alias(seq), "__us").groupBy(name).applyInPandasWithState(
+    out = df.select(name, "__value", F.col(seq).alias(seq), "__us").groupBy(name).applyInPandasWithState(
         step,
-        f"`{name}` {kind}, kind string, at long, values array<double>",
-        "top long, passed long, fired long, us array<long>, seq array<long>, v array<double>",
+        f"`{name}` {kind}, kind string, at long, values array<{of}>",
+        f"top long, passed long, fired long, us array<long>, seq array<long>, v array<{of}>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
