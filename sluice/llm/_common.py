@@ -8,8 +8,6 @@ as in tests, is a temporary folder used.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import shared_folder
+
 #: The white space of the contracts: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,13 +25,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables, as a URI or path without a trailing slash."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="sluice-scratch-")
-        spark.sparkContext.setCheckpointDir(shared)
-        shared = spark.sparkContext.getCheckpointDir()
-    return shared.rstrip("/")
+    """The shared folder for scratch tables, as a URI or path without a trailing slash; an error on a cluster without one."""
+    return shared_folder(spark)
 
 
 _written: list[str] = []
