@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from ._common import hash_strings, mix64, slices, small_batches, table, words
 _STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.uint64(0)
+ANY = np.uint64(2)  # no symbol: symbols are odd
 
 
 @dataclass
@@ -53,9 +55,10 @@ class Limits:
 
 def symbols(vocabulary: pa.Array) -> np.ndarray:
     """A 64-bit symbol per vocabulary entry; 0 where nothing but punctuation is left."""
-    bare = [w.strip(_STRIP).lower() for w in vocabulary.to_pylist()]
-    h = hash_strings(pa.array(bare, pa.string())) | np.uint64(1)
-    return np.where(np.fromiter((not w for w in bare), dtype=bool, count=len(bare)), PAD, h)
+    bare = pc.utf8_lower(pc.utf8_trim(vocabulary.cast(pa.large_string()), characters=_STRIP)).dictionary_encode()
+    h = hash_strings(bare.dictionary) | np.uint64(1)
+    h[pc.equal(pc.binary_length(bare.dictionary), 0).to_numpy(zero_copy_only=False)] = PAD
+    return h[bare.indices.to_numpy(zero_copy_only=False)]
 
 
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +104,7 @@ def same_bucket(s, start, end, repeat: int, steps: np.ndarray, want: np.ndarray)
             at = at + ((at < end[alive]) & (bit > 0))
             t += 1
         here = np.where(at < end[alive], s[np.minimum(at, max(0, len(s) - 1))], PAD)
-        same = here == want[alive, col]
+        same = (here == want[alive, col]) | (want[alive, col] == ANY)
         alive, at = alive[same], at[same]
     return alive
 
@@ -132,6 +135,7 @@ class ItemIndex:
     s: np.ndarray
     counts: np.ndarray
     tables: list = field(default_factory=list)  # of bucket samples, by repeat and class
+    sieve: np.ndarray | None = None
 
     @classmethod
     def build(cls, ids: list, texts: list, limits: Limits) -> ItemIndex:
@@ -147,7 +151,9 @@ class ItemIndex:
         for k, n in enumerate(counts.tolist()):
             a = int(index.first[k])
             head = max(1, (n * 3 + 4) // 5) if n else 0
-            for j in np.lexsort((-length[a : a + head], often[a : a + head]))[: min(limits.anchors, max(3, n // 3))].tolist():
+            # More starts than a passage within the limit can have edits, so some are left whichever words are edited.
+            most = min(max(limits.anchors, int(limits.max_edits * n) + 2), max(3, n // 3))
+            for j in np.lexsort((-length[a : a + head], often[a : a + head]))[:most].tolist():
                 starts.append(a + j)
                 owner.append(k)
         index.starts, index.owner = np.array(starts, np.int64), np.array(owner, np.int64)
@@ -164,6 +170,9 @@ class ItemIndex:
                 own = np.flatnonzero(kinds == c)
                 samples = np.zeros((len(kinds), limits.samples), dtype=np.uint64)
                 samples[own] = embed(s, index.starts[own], ends[own], repeat, steps)
+                # An item that allows no edits ends within longer texts: what its walk meets after its end tells nothing.
+                exact = own[(limits.max_edits * counts[index.owner[own]]).astype(np.int64) == 0]
+                samples[exact] = np.where(samples[exact] == PAD, ANY, samples[exact])
                 found[c] = (steps, samples)
             index.tables.append(found)
         index.kinds = kinds
@@ -171,6 +180,16 @@ class ItemIndex:
         index.head_keys = s[index.starts][index.by_head]
         return index
 
+    def is_head(self, s: np.ndarray) -> np.ndarray:
+        """Whether each symbol is one that an item's window begins with: a bit per hash first, then the symbols themselves."""
+        if self.sieve is None:
+            self.sieve = np.zeros(1 << 20, bool)
+            self.sieve[(self.heads >> np.uint64(44)).astype(np.int64)] = True
+        out = self.sieve[(s >> np.uint64(44)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        out[maybe] = np.isin(s[maybe], self.heads)
+        return out
+
     def colliding(self, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``start``, window) of pairs in one bucket: equal at coordinate 0 and at all sampled coordinates.
 
@@ -193,7 +212,7 @@ class ItemIndex:
         if not len(s) or not len(self.starts):
             return []
         ends = np.cumsum(counts)
-        start = np.flatnonzero(np.isin(s, self.heads))
+        start = np.flatnonzero(self.is_head(s))
         doc = np.searchsorted(ends, start, side="right")
         at, window = self.colliding(s, start, ends[doc])
         item = self.owner[window]

@@ -346,6 +346,28 @@ def test_ngram_join_against_brute_force(spark):
         assert got.component_id.to_dict() == component and got.n_shingles.to_dict() == size
 
 
+@pytest.mark.parametrize("block", [200, 1_000_000])
+def test_number_of_links_against_brute_force(spark, block):
+    rng, vocab, texts = random.Random(21), [f"w{i}" for i in range(400)], {}
+    for i in range(220):
+        if i > 10 and rng.random() < 0.8:
+            w = texts[rng.randrange(min(i, 40))].split()
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts[i] = " ".join(w)
+        else:
+            texts[i] = " ".join(rng.choices(vocab, k=rng.choice([2, 20, 60])))
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) or frozenset([tuple(w)])
+    classes = set(sets.values())
+    want = {i: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in classes) for i, x in sets.items()}
+    got = ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block_shingles=block, links=True).toPandas()
+    assert got.set_index("doc_id").n_links.to_dict() == want and max(want.values()) > 5
+    assert got.set_index("doc_id").component_id.to_dict() == brute_components(texts, 4, 85)[0]
+
+
 def test_announcements_meet_at_the_threshold():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 6, 7, 8, 13, 20, 50, 177, 600):
@@ -485,6 +507,26 @@ def test_recall_of_edited_passages(share, least):
     assert index.search(pa.array(clean)) == []
 
 
+@pytest.mark.parametrize("sizes", [(1, 2, 3, 4), (5, 8, 12), (13, 30, 59), (40, 100)])
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_recall_where_the_rarest_words_are_edited(sizes, share):
+    rng = random.Random(17)
+    vocab = [f"v{i:04d}" + "abcdefghij"[: i % 10] for i in range(4000)]
+    items = [" ".join(rng.choices(vocab, k=rng.choice(sizes))) for _ in range(200)]
+    often = {}
+    for w in " ".join(items).split():
+        often[w] = often.get(w, 0) + 1
+    docs = []
+    for x in items:
+        w = x.split()
+        for j in sorted(range(len(w)), key=lambda j: (often[w[j]], -len(w[j])))[: int(share * len(w))]:
+            w[j] = f"zz{rng.randrange(10**6)}"
+        docs.append(" ".join(rng.choices(vocab, k=150) + w + rng.choices(vocab, k=150)))
+    index = decontaminate.ItemIndex.build(list(range(200)), items, decontaminate.Limits())
+    found = {(r[0], r[1]) for r in index.search(pa.array(docs))}
+    assert sum((k, k) in found for k in range(200)) >= (200 if share == 0 else 196)
+
+
 def test_decontamination_edges(spark, edge):
     items = spark.createDataFrame([(1, "one two three four five"), (2, None), (3, ""), (4, "!!"), (5, "x")], "item_id long, text string")
     got = decontaminate.contained_items(edge, items, limits=decontaminate.Limits(block_words=4))
