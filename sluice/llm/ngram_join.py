@@ -431,8 +431,8 @@ def forest_of_possible(tree: SignatureTree, percent: int) -> list[tuple[int, int
     return found
 
 
-def links(sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of all links: edges (i, j) that each join two parts not joined before.
+def links(sets: list[np.ndarray], percent: int, left: int = 0, every: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of all links: edges (i, j) that each join two parts not joined before. With ``every`` all links.
 
     With ``left`` > 0 the first ``left`` sets are one chunk and the rest another, and only links across count.
     """
@@ -440,24 +440,27 @@ def links(sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int
     maps = bitmaps(np.concatenate(sets), sizes, np.full(len(sizes), bit_width(sizes.max(keepdims=True))[0]))
     order = np.lexsort((sizes, np.array([s[0] for s in sets])))
     tree = SignatureTree(np.stack([np.frombuffer(m, np.uint64) for m in maps]), sizes, order)
-    union, found = Union(len(sets)), []
+    union, found, met = Union(len(sets)), [], set()
 
     def meet(a, b):
         i, j = int(order[a]), int(order[b])
-        if (left and (i < left) == (j < left)) or union.root(a) == union.root(b):
+        if (left and (i < left) == (j < left)) or union.root(a) == union.root(b) or (a, b) in met:
             return
         x, y = sets[i], sets[j]
         both = len(np.intersect1d(x, y, assume_unique=True))
+        if every:
+            met.add((a, b))  # parts stay apart, so that no pair is skipped; a pair may be met twice
         if 100 * both >= percent * (len(x) + len(y) - both):
-            union.join(a, b)
+            if not every:
+                union.join(a, b)
             found.append((i, j))
 
     dual_traversal(tree, percent, union, meet)
     return found
 
 
-def _join_blocks(k: int, percent: int):
-    """Rows (task, i, j, chunk, print, text), sorted by task, in; edges of verified links out."""
+def _join_blocks(k: int, percent: int, every: bool = False):
+    """Rows (task, chunk, print, text), sorted by task, in; edges of verified links out, enough for the components or all."""
 
     def finish(rows):
         first: dict[int, tuple[int, str]] = {}
@@ -474,7 +477,7 @@ def _join_blocks(k: int, percent: int):
         sets = [h[ends[m] - sizes[m] : ends[m]] for m in member]
         low = chunks[member[0]]
         left = sum(chunks[m] == low for m in member)
-        found = links(sets, percent, left if left < len(member) else 0)
+        found = links(sets, percent, left if left < len(member) else 0, every)
         return [prints[member[i]] for i, _ in found], [prints[member[j]] for _, j in found]
 
     def run(batches):
@@ -515,7 +518,9 @@ def _print_of(k: int):
     return print_of
 
 
-def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, block_shingles: int = 250_000, meeting_classes: int = 50_000) -> DataFrame:
+def _components(
+    df: DataFrame, id_col: str, text_col: str, k: int, percent: int, block_shingles: int = 250_000, meeting_classes: int = 50_000, every: bool = False
+) -> DataFrame:
     """What ``ngram_join`` returns, and kept_set: of the sets in the component with its least id, the least set_id."""
     spark = df.sparkSession
     small_batches(spark)
@@ -574,7 +579,12 @@ def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int,
             told.join(wanted, (told.print == wanted.print) & F.col("id").eqNullSafe(F.col("want"))).select("task", "chunk", wanted.print, "text")
         )
     fetched = fetched.select("task", "chunk", "print", "text").repartition("task").sortWithinPartitions("task", "chunk", "print")
-    verified = connected_components(fetched.mapInArrow(_join_blocks(k, percent), "a long, b long"))
+    pairs = fetched.mapInArrow(_join_blocks(k, percent, every), "a long, b long")
+    if every:
+        # A task of one chunk finds its pairs, a task of two those across: no pair is found twice.
+        pairs = materialize(pairs, "join-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("n_links"))
+    verified = connected_components(pairs)
 
     linked = classes.join(verified, classes.print == verified.node, "left").select(
         "print", "id", F.coalesce("label", "print").alias("label")
@@ -582,20 +592,35 @@ def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     least = linked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("kept"))
     of_class = linked.join(least, "label").select("print", F.col("kept.id").alias("component_id"), F.col("kept.print").alias("kept_set"))
     # Copies make one class hot on the side of the rows; of_class has one row a class, so AQE can split it.
+    if every:
+        of_class = of_class.join(ends, "print", "left")
     return sets.join(of_class, "print", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("print")).alias("set_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("kept_set")).alias("kept_set"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if every else []),
     )
 
 
 def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_shingles: int = 250_000, meeting_classes: int = 50_000
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 4,
+    percent: int = 85,
+    block_shingles: int = 250_000,
+    meeting_classes: int = 50_000,
+    links: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id."""
-    return _components(df, id_col, text_col, k, percent, block_shingles, meeting_classes).drop("kept_set")
+    """One row per input row: doc_id, n_shingles, set_id (the class of equal sets) and component_id.
+
+    With ``links`` also n_links, with how many other classes the row's class is linked itself. All pairs of classes that the
+    tree lets through are then verified, where components need a spanning forest only: the work of a group of n classes that
+    are all near each other grows with n squared, in tasks of chunk pairs.
+    """
+    return _components(df, id_col, text_col, k, percent, block_shingles, meeting_classes, links).drop("kept_set")
 
 
 #: Up to so many rows of (task, chunk, print, id), some 100 bytes each, are broadcast to fetch texts; beyond, texts are shuffled.
