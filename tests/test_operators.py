@@ -273,3 +273,85 @@ def test_terasort(spark):
     out = ml.terasort(df, n=4)
     assert ml.terasort_check(out).first()[0]
     assert out.count() == 500
+
+
+def scan_tasks(spark, run):
+    """The most tasks of any stage that ``run`` starts."""
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return max(info.numTasks for s in stages if (info := tracker.getStageInfo(s)) is not None)
+
+
+def test_folds_and_gathers_leave_the_scan_its_tasks(spark):
+    numbers = spark.range(0, 800, 1, 8)
+    assert scan_tasks(spark, lambda: udf.tree_reduce(numbers, "id", max, "long").collect()) == 8
+    assert scan_tasks(spark, lambda: movement.gather(numbers.where("id % 2 = 0")).collect()) == 8
+    assert udf.tree_reduce(numbers, "id", lambda a, b: a + b, "long").first()[0] == 319_600
+    assert movement.gather(numbers).rdd.getNumPartitions() == 1
+
+
+def test_keyed_folds_hold_few_keys(spark):
+    rng = random.Random(5)
+    data = [(rng.randrange(300), rng.randrange(1000)) for _ in range(5000)]
+    want = defaultdict(int)
+    for k, v in data:
+        want[k] += v
+    got = udf.keyed_tree_reduce(spark.createDataFrame(data, "k long, v long"), "k", "v", lambda a, b: a + b, "long", held_keys=7)
+    assert {r.k: r.reduced for r in got.collect()} == want
+
+
+def test_sort_checks_see_disorder(spark):
+    good = spark.range(0, 100, 1, 4)
+    assert tuple(sorting.sort_check(good, "id").first())[:2] == (True, 100)
+    assert sorting.is_sorted(good.union(good), "id").first()[0] is False
+    assert sorting.is_sorted(good.orderBy(F.desc("id")), "id").first()[0] is False
+    assert tuple(sorting.sort_check(good.where("id < 0"), "id").first()) == (True, 0, 0)
+    assert sorting.sort_check(good.where("id <> 7"), "id").first()["checksum"] != sorting.sort_check(good, "id").first()["checksum"]
+
+
+def test_variables_survive_a_commit_that_is_cut_off(spark, tmp_path):
+    path = f"{tmp_path}/vars"
+    state = iterate.Variables(spark, path)
+    state.update("round", 4)
+    state.commit()
+    (tmp_path / "vars").rename(tmp_path / "vars.old")  # as after the first of the two renames
+    assert iterate.Variables(spark, path).init("round", 0) == 4
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        iterate.shared_folder(Session())
+
+
+def test_arrow_files_are_read_by_ranges(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"a": list(range(1000)), "b": [str(i) for i in range(1000)]})
+    for name, writer in (("f.arrow", pa.ipc.new_file), ("s.arrow", pa.ipc.new_stream)):
+        with writer(f"{tmp_path}/{name}", table.schema) as out:
+            out.write_table(table, max_chunksize=10)
+    got = custom.arrow(spark, str(tmp_path), batches_per_task=7)
+    assert sorted(r.a for r in got.collect()) == sorted([*range(1000), *range(1000)]) and got.columns == ["a", "b"]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no Arrow files"):
+        custom.arrow(spark, str(tmp_path / "empty"))
+
+
+def test_table_functions(spark):
+    out = udf.flat_map_table(spark.range(4), lambda n: ((i, i * n) for i in range(n)), "i bigint, p bigint", ["id"], "sluice_test_rows")
+    assert rows(out) == [(1, 0, 0), (2, 0, 0), (2, 1, 2), (3, 0, 0), (3, 1, 3), (3, 2, 6)]
+

@@ -155,3 +155,116 @@ def test_custom_source(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.table("squares_table").collect()) == [(i, i * i) for i in range(25)]
+
+
+def test_large_numbers_and_texts_keep_their_type(spark, tmp_path):
+    big = 2**53
+    feed = Feed(spark, tmp_path / "n", "value long, seq long")
+    feed.add([(big + 1, 0), (big + 3, 1), (None, 2), (big + 5, 3)])
+    assert sorted((r[1] for r in feed.drain(stateful.count_windows(feed.stream(), 2))), key=str) == sorted([[big + 1, big + 3], [None, big + 5]], key=str)
+    feed = Feed(spark, tmp_path / "t", "value string, seq long")
+    for part in (["a", "b", "c"], ["d"]):
+        feed.add([(v, ord(v)) for v in part])
+        got = feed.drain(stateful.count_windows(feed.stream(), 2))
+    assert sorted(r[1] for r in got) == [["a", "b"], ["c", "d"]]
+    feed = Feed(spark, tmp_path / "r", "source long, value long, seq long")
+    feed.add([(0, big + 1, 0), (1, big + 3, 1)])
+    assert feed.drain(stateful.rounds(feed.stream(), "source", [0, 1], "value", fold=max)) == [(0, big + 3)]
+
+
+def test_numbered_rounds_run_apart(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "source long, number long, value string")
+    out = lambda: stateful.rounds(feed.stream(), "source", [0, 1, 2], "value", number="number")
+    feed.add([(0, 0, "a"), (2, 0, "c"), (1, 1, "x")])
+    assert feed.drain(out()) == []
+    feed.add([(1, 0, "b"), (0, 1, "w")])
+    assert feed.drain(out()) == [(0, ["a", "b", "c"])]
+    feed.add([(2, 1, "y")])
+    assert sorted(feed.drain(out())) == [(0, ["a", "b", "c"]), (1, ["w", "x", "y"])]
+
+
+def test_a_window_before_the_first_row_may_fill_later(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "ms long, seq long, v string")
+    out = lambda: stateful.event_windows(feed.stream().withColumn("ts", F.timestamp_millis("ms")), "ts", "v", lag_us=20_000, length_us=10_000, slide_us=10_000)
+    feed.add([(35, 0, "a")])
+    assert feed.drain(out()) == []
+    feed.add([(18, 1, "b"), (200, 2, "c")])
+    got = feed.drain(out())
+    assert sorted(got) == [("window", 20_000, ["b"]), ("window", 40_000, ["a"])]
+
+
+def test_a_stream_that_fails_in_a_batch_goes_on_from_its_checkpoint(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "value long, seq long")
+    trap = tmp_path / "trap"
+    trap.touch()
+
+    def check(frames):
+        for f in frames:
+            if trap.exists() and (f["value"] == 5).any():
+                raise RuntimeError("lost in mid-batch")
+            yield f
+
+    out = lambda: stateful.count_windows(feed.stream().mapInPandas(check, "value long, seq long"), 3)
+    feed.add([(i, i) for i in range(4)])
+    assert [r[1] for r in feed.drain(out())] == [[0, 1, 2]]
+    feed.add([(i, i) for i in range(4, 9)])
+    with pytest.raises(Exception, match="mid-batch"):
+        feed.drain(out())
+    trap.unlink()
+    assert sorted(r[1] for r in feed.drain(out())) == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
+
+
+def test_kafka_takes_its_options():
+    class Reader:
+        def __init__(self):
+            self.set = {}
+
+        def format(self, name):
+            self.set["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.set[key] = value
+            return self
+
+    class Session:
+        readStream = Reader()
+
+    got = flows.kafka_reader(Session(), "a:9092,b:9092", "t1,t2", "latest", maxOffsetsPerTrigger=100, kafka__group__id="g").set
+    assert got == {
+        "format": "kafka",
+        "kafka.bootstrap.servers": "a:9092,b:9092",
+        "subscribe": "t1,t2",
+        "startingOffsets": "latest",
+        "maxOffsetsPerTrigger": 100,
+        "kafka.group.id": "g",
+    }
+
+
+def test_offsets_resume_after_the_last(spark, tmp_path):
+    """The part of a log with offsets, by a source that can grow."""
+    log = tmp_path / "log"
+    log.write_text("a\nb\n")
+
+    def rows(i):
+        lines = log.read_text().split()
+        return (i, lines[i]) if i < len(lines) else None
+
+    def drain():
+        query = flows.start(flows.custom(spark, "sluice_log", rows, "offset long, line string"), "parquet", f"{tmp_path}/s", path=f"{tmp_path}/o", once=False)
+        query.processAllAvailable()
+        query.stop()
+        return sorted(tuple(r) for r in spark.read.schema("offset long, line string").parquet(f"{tmp_path}/o").collect())
+
+    assert drain() == [(0, "a"), (1, "b")]
+    log.write_text("a\nb\nc\n")
+    assert drain() == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_parts_of_a_key_are_shed(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "k string, v long, seq long")
+    out = lambda: stateful.keyed_gather(feed.stream(), "k", "v", 2)
+    feed.add([("x", 1, 0), ("x", 2, 1), ("x", 3, 2), ("y", 9, 3)])
+    assert feed.drain(out()) == [("x", 0, [1, 2])]
+    feed.add([("x", 4, 4)])
+    assert sorted(feed.drain(out())) == [("x", 0, [1, 2]), ("x", 1, [3, 4])]
