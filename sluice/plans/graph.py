@@ -50,8 +50,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float
     Edges carry their source's out-degree and are partitioned by source once; a round shuffles ranks and messages.
     """
     n = vertices.count()
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = edges.join(degree, "src").select("src", "dst", "degree").repartition("src").persist()
+    by_source = edges.select("src", "dst").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+    degree = by_source.groupBy("src").agg(F.count("*").alias("degree"))  # in place, as the next join
+    links = by_source.join(degree, "src").select("src", "dst", "degree").persist()
     state = vertices.join(degree, vertices.id == degree.src, "left").select("id", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank"))
 
     def step(state: DataFrame, _round: int) -> DataFrame:
@@ -66,6 +67,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int, damping: float
         return iterate(cut(state), step, rounds, every=1).select("id", "rank")
     finally:
         links.unpersist()
+        by_source.unpersist()
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:

@@ -388,13 +388,7 @@ def keyed_gather_ungrouped(spark, d):
     """Rows of a key stand next to each other, in order: places within the partition tell."""
     rows = agg.keyed_gather_ungrouped(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
-    def place(frames):
-        at = 0
-        for f in frames:
-            yield f.assign(at=range(at, at + len(f)))
-            at += len(f)
-
-    placed = rows.mapInPandas(place, "o_custkey long, o_orderkey long, at long")
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
     pairs = F.array_sort(F.collect_list(F.struct("at", "o_orderkey")))["o_orderkey"]
     adjacent = (F.max("at") - F.min("at") + 1 == F.count("*")).alias("adjacent")
     return placed.groupBy("o_custkey").agg(
