@@ -7,7 +7,9 @@ hit is verified against the content of its bucket (the full digest and the
 length of the text). When a newer row of the same content arrives, the live
 entry is deleted and the newer one inserted. Before the shuffle the same index
 runs over each input split, so a text that makes up a third of all rows leaves
-each split as one row.
+each split as few rows: an index hands on what it holds at ``HELD`` entries. After the
+shuffle rows come in order of the digest's first byte and each byte has an index of
+its own, so an index holds a 256th of its partition's digests.
 
 Defined results: null text counts as empty; rows with null id can be members
 of a group but are kept only if all ids of the group are null; rows that repeat
@@ -117,21 +119,10 @@ class CuckooIndex:
             yield from b
 
 
-def _index_batches(batches):
-    """(digest, length, id, n) rows in, one row for each live content out."""
-    index = CuckooIndex()
-    for batch in batches:
-        digests, lengths, ids, counts = (batch.column(k).to_pylist() for k in range(4))
-        for digest, length, doc, n in zip(digests, lengths, ids, counts, strict=True):
-            key = digest + length.to_bytes(8, "little")
-            live = index.get(key)
-            if live is None:
-                index.insert(key, (doc, n))
-                continue
-            held, seen = live[1]
-            newest = held if doc is None or (held is not None and held >= doc) else doc
-            index.delete(key)
-            index.insert(key, (newest, seen + n))
+HELD = 250_000
+
+
+def _live_rows(index: CuckooIndex):
     rows = list(index.items())
     for at in range(0, len(rows), 10_000):
         part = rows[at : at + 10_000]
@@ -146,7 +137,36 @@ def _index_batches(batches):
         )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _index_batches(in_order: bool, held: int = HELD):
+    """(digest, length, id, n) rows in, a row for each live content out.
+
+    Rows ``in_order`` of the digest's first byte give one row a content; others one for every ``held`` entries of the index.
+    """
+
+    def run(batches):
+        index, first = CuckooIndex(), None
+        for batch in batches:
+            digests, lengths, ids, counts = (batch.column(k).to_pylist() for k in range(4))
+            for digest, length, doc, n in zip(digests, lengths, ids, counts, strict=True):
+                if index.size and (digest[0] != first if in_order else index.size >= held):
+                    yield from _live_rows(index)
+                    index = CuckooIndex()
+                first = digest[0]
+                key = digest + length.to_bytes(8, "little")
+                live = index.get(key)
+                if live is None:
+                    index.insert(key, (doc, n))
+                    continue
+                before, seen = live[1]
+                newest = before if doc is None or (before is not None and before >= doc) else doc
+                index.delete(key)
+                index.insert(key, (newest, seen + n))
+        yield from _live_rows(index)
+
+    return run
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = materialize(
@@ -156,8 +176,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         "dedup-digests",
     )
     schema = "digest binary, n_bytes long, id long, n long"
-    local = rows.select("digest", "n_bytes", "id", F.lit(1).cast("long").alias("n")).mapInArrow(_index_batches, schema)
-    groups = local.repartition("digest").mapInArrow(_index_batches, schema)
+    local = rows.select("digest", "n_bytes", "id", F.lit(1).cast("long").alias("n")).mapInArrow(_index_batches(False, held), schema)
+    dealt = local.repartition("digest").sortWithinPartitions(F.substring("digest", 1, 1))
+    groups = dealt.mapInArrow(_index_batches(True), schema)
     groups = groups.select("digest", "n_bytes", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     # AQE splits the partition of a hot digest on the side of the rows: groups has one row a digest.
     return rows.join(groups, ["digest", "n_bytes"]).select(

@@ -83,6 +83,18 @@ def test_same_fingerprint_is_no_hit():
     assert index.get(b"\1" * 10 + b"b" * 30) is None
 
 
+@pytest.mark.parametrize("held", [1, 3, 100])
+def test_dedup_with_small_indexes(spark, held):
+    rng = random.Random(held)
+    rows = [(rng.choice([None, i, i]), rng.choice(["Hot", "hot", f"t{rng.randrange(90)}"])) for i in range(600)]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), held=held)
+    members = {}
+    for i, t in rows:
+        members.setdefault(t.lower(), []).append(i)
+    want = sorted((i or -1, max((x for x in members[t.lower()] if x is not None), default=-1), len(members[t.lower()])) for i, t in rows)
+    assert sorted((r.doc_id or -1, -1 if r.keep_id is None else r.keep_id, r.group_size) for r in out.collect()) == want
+
+
 def brute_best_fit(sizes, capacity):
     bins, place = [], {}
     for i in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
