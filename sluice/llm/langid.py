@@ -349,11 +349,12 @@ def identify(
 def keep_identified(df: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df``, with all their columns, whose language holds at least ``min_score`` of their n-grams.
 
-    Texts without letters are rejected. With no labelled row there is no model and nothing else is rejected.
+    The model learns from all rows with a language. Texts without letters are rejected. With no labelled row there is no
+    model and nothing else is rejected.
     """
     if df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).isEmpty():
         return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    found = identify(df, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=tuple(df.columns))
+    found = identify(df, F.lit(True), id_col, text_col, lang_col, keep=tuple(df.columns))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return kept.select(*[F.col(f"keep_{c}").alias(c) for c in df.columns])
 

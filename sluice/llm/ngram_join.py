@@ -639,6 +639,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _components(df, id_col, text_col, k, percent)
     stays = F.col("set_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("kept_set")))
     found = materialize(found.select("doc_id", "set_id", stays.alias("stays")), "near-components")
+    names = {c: f"column_{k}" for k, c in enumerate(df.columns)}  # any column of the input may share a name with ours
+    id_col, text_col = names[id_col], names[text_col]
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     keys = F.col(id_col).cast("long")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("stays").alias("stays"))
     ids = materialize(ids.where("n > 1 or not stays").select(F.col("doc_id").alias("near_id"), (F.col("n") > 1).alias("again")), "near-ids")
@@ -646,7 +650,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = dropped.count() <= BROADCAST_IDS
     kept = df.join(F.broadcast(dropped) if few else dropped, keys == F.col("near_id"), "left_anti")
     if again.isEmpty() and found.where("doc_id is null").isEmpty():
-        return kept
+        return kept.select(*back)
     # An id tells one row only if it is neither null nor repeated; of the other rows the set is told again.
     once = kept.where(keys.isNotNull()).join(again, keys == F.col("near_id"), "left_anti")
     other = kept.where(keys.isNull()).unionByName(kept.join(again, keys == F.col("near_id"), "left_semi"))
@@ -657,7 +661,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = least.unionByName(found.where("stays and set_id is not null and doc_id is null"))
     least = least.select(F.col("doc_id").alias("near_id"), F.col("set_id").alias("near_set")).distinct()
     told = told.join(least, (F.col("near_print") == F.col("near_set")) & keys.eqNullSafe(F.col("near_id")), "left_semi")
-    return once.unionByName(bare).unionByName(told.dropDuplicates([id_col, "near_print"]).drop("near_print"))
+    return once.unionByName(bare).unionByName(told.dropDuplicates([id_col, "near_print"]).drop("near_print")).select(*back)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
