@@ -77,3 +77,45 @@ def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
     """Words between white space; map-side combined before the shuffle."""
     words = lines.select(F.explode(F.split(column, r"\s+")).alias("word")).where("word != ''")
     return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def mds(distances: DataFrame, dim: int = 3, rounds: int = 100, tolerance: float = 1e-6, seed: int = 1, max_points: int = 200_000) -> tuple[np.ndarray, list[float]]:
+    """Multidimensional scaling by majorisation: (point's coordinates by row number, stress of each round).
+
+    ``distances`` is (i, d): for each point its distances to all points, in order. The matrix stays on the executors; a round
+    sends them the coordinates, ``dim`` numbers for each of at most ``max_points`` points, and gets as many back.
+    """
+    n = distances.count()
+    if n > max_points:
+        raise ValueError(f"{n} points, where at most {max_points} may meet on the driver")
+    if n == 0:
+        return np.zeros((0, dim)), []
+    spark, matrix = distances.sparkSession, distances.select("i", "d").persist()
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    stress: list[float] = []
+
+    def moved(sent):
+        def run(frames):
+            at = sent.value
+            for frame in frames:
+                own, wanted = at[frame["i"].to_numpy()], np.stack(frame["d"].to_numpy())
+                between = np.sqrt(np.maximum(((own**2).sum(1)[:, None] + (at**2).sum(1)[None, :] - 2 * own @ at.T), 0))
+                pull = np.divide(wanted, between, out=np.zeros_like(wanted), where=between > 1e-12)
+                new = (own * pull.sum(1)[:, None] - pull @ at) / len(at)
+                yield pd.DataFrame({"i": frame["i"], "x": list(new), "off": ((between - wanted) ** 2).sum(1), "whole": (wanted**2).sum(1)})
+
+        return run
+
+    try:
+        for _ in range(rounds):
+            x = x - x.mean(axis=0)
+            sent = spark.sparkContext.broadcast(x)
+            got = matrix.mapInPandas(moved(sent), "i long, x array<double>, off double, whole double").toPandas()
+            sent.unpersist()
+            stress.append(float(got["off"].sum() / max(got["whole"].sum(), 1e-300)))
+            x[got["i"].to_numpy()] = np.stack(got["x"].to_numpy())
+            if len(stress) > 1 and stress[-2] - stress[-1] < tolerance * stress[-2] or stress[-1] < tolerance:
+                break
+    finally:
+        matrix.unpersist()
+    return x, stress

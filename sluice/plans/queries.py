@@ -746,6 +746,17 @@ def svm_train(spark, d):
     return ml.svm_accuracy(rows, ml.train_svm(rows, 0.01, 3))
 
 
+@register("mds_generated", "SELECT CAST(1000 AS BIGINT) AS points, true AS recovered")
+def mds_generated(spark, d):
+    """A thousand points of a cube, of which only the distances are told; the root mean square of what the recovered distances are off is under 4 %."""
+    place = lambda i, k: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(10_000)) / 10_000.0
+    between = lambda i, j: F.sqrt(sum(((place(i, k) - place(j, k)) * (place(i, k) - place(j, k)) for k in range(3)), F.lit(0.0)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))
+    matrix = files.generated(spark, 1000, 8, i=F.col("id"), d=F.transform(every, lambda j: between(F.col("id"), j)))
+    x, stress = ml.mds(matrix, rounds=100, tolerance=1e-3)
+    return spark.createDataFrame([(len(x), stress[-1] < 0.04**2)], "points long, recovered boolean")
+
+
 # --- more of the same operators -------------------------------------------------------------------------------------
 
 

@@ -355,3 +355,17 @@ def test_table_functions(spark):
     out = udf.flat_map_table(spark.range(4), lambda n: ((i, i * n) for i in range(n)), "i bigint, p bigint", ["id"], "sluice_test_rows")
     assert rows(out) == [(1, 0, 0), (2, 0, 0), (2, 1, 2), (3, 0, 0), (3, 1, 3), (3, 2, 6)]
 
+
+
+def test_scaling_recovers_distances(spark):
+    import numpy as np
+
+    points = np.random.default_rng(3).random((40, 2))
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(far)], "i long, d array<double>").repartition(3)
+    x, stress = ml.mds(frame, dim=2, rounds=60, tolerance=1e-9, seed=5)
+    assert all(a >= b - 1e-12 for a, b in zip(stress, stress[1:])) and stress[-1] < 0.02
+    assert abs(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) - far).mean() < 0.1
+    assert ml.mds(frame.limit(0))[0].shape == (0, 3)
+    with pytest.raises(ValueError, match="at most 5"):
+        ml.mds(frame, max_points=5)
