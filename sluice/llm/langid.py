@@ -136,6 +136,7 @@ class BitSlicedBloom:
         self.order = np.arange(len(langs)) if order is None else order
         self.planes = planes_of(len(langs))
         self.table = np.zeros((self.planes, m), dtype=word_of(len(langs)))
+        self.of_mask: np.ndarray | None = None
 
     @staticmethod
     def positions(grams: np.ndarray, m: int):
@@ -171,10 +172,24 @@ class BitSlicedBloom:
             out = got if out is None else out & got
         return out
 
+    def weights(self) -> np.ndarray:
+        """(language, mask): what an n-gram with the mask adds to a language's corrected hits; for words of up to 16 bits."""
+        masks = np.arange(1 << (8 * self.table.dtype.itemsize), dtype=np.uint32)
+        out = np.zeros((len(self.langs), len(masks)))
+        for tier in range(len(TIERS)):
+            for lang in range(len(self.langs)):
+                hit, false = (masks >> np.uint32(self.place(lang, tier)[1])) & np.uint32(1), self.false[tier, lang]
+                out[lang] += (hit - false) / max(1e-9, 1 - false)
+        return out
+
     def counts(self, grams: np.ndarray, owner: np.ndarray, words_: int) -> np.ndarray:
         """(language, word): the corrected hits of the n-grams of each word, added up over the tiers."""
-        out = np.zeros((len(self.langs), words_))
         masks = [self.holds(grams, plane) for plane in range(self.planes)]
+        if self.table.dtype.itemsize <= 2:
+            if self.of_mask is None:
+                self.of_mask = self.weights()
+            return np.stack([np.bincount(owner, w[masks[0]], minlength=words_) for w in self.of_mask])
+        out = np.zeros((len(self.langs), words_))
         n = np.bincount(owner, minlength=words_)
         for tier in range(len(TIERS)):
             for lang in range(len(self.langs)):

@@ -326,6 +326,27 @@ def test_langid_keeps_every_ngram_of_every_language(spark):
     assert small.m == langid.CHUNK
 
 
+def test_langid_counts_are_the_same_by_mask_and_by_bit():
+    rng = np.random.default_rng(6)
+    grams, owner = rng.integers(0, 2**63, 3000).astype(np.uint64), np.sort(rng.integers(0, 200, 3000))
+    got = []
+    for langs in (["a", "b", "c"], ["a", "b", "c", "d", "e", "f"]):  # words of 16 and of 32 bits
+        bloom = langid.BitSlicedBloom(langs, 1 << 12)
+        for lang in range(3):
+            for tier in range(4):
+                bloom.add(grams[lang * 700 + tier * 100 : lang * 700 + tier * 100 + 400], lang, tier)
+        counts = bloom.finish().counts(grams, owner, 200)
+        want = np.zeros((3, 200))
+        for lang in range(3):
+            for tier in range(4):
+                plane, shift = bloom.place(lang, tier)
+                hit = (bloom.holds(grams, plane) >> bloom.table.dtype.type(shift)) & bloom.table.dtype.type(1)
+                np.add.at(want[lang], owner, (hit - bloom.false[tier, lang]) / (1 - bloom.false[tier, lang]))
+        assert np.allclose(counts[:3], want)
+        got.append(bloom.table.dtype.itemsize)
+    assert got == [2, 4]
+
+
 def test_langid_edges(edge):
     pred, score = by_id(langid.identify(edge), "lang_pred"), by_id(langid.identify(edge), "score")
     assert pred[1] == pred[2] == pred[3] == ["und"] and score[1] == [0.0]
