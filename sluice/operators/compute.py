@@ -145,6 +145,36 @@ def reduce_task(start: Callable[[], object], step: Callable[[object, pd.DataFram
     return Fold
 
 
+class Gang:
+    """What a member of a gang knows of it: its rank, the gang's size, the members' addresses, and a collective."""
+
+    def __init__(self):
+        from pyspark import BarrierTaskContext
+
+        self._task = BarrierTaskContext.get()
+        self.rank = self._task.partitionId()
+        self.addresses = [i.address for i in self._task.getTaskInfos()]
+        self.size = len(self.addresses)
+
+    def all_gather(self, message: str) -> list[str]:
+        """Every member's message, by rank; waits for all."""
+        return self._task.allGather(message)
+
+    def barrier(self) -> None:
+        self._task.barrier()
+
+
+def run_gang(df: DataFrame, fn, schema, n: int) -> DataFrame:
+    """``fn(gang, batches)`` in ``n`` tasks that start together, each over its Arrow batches: a hand-over to a program with
+    collectives of its own, for instance data-parallel training. All fail and start again together. Needs ``n`` free slots; Spark
+    polls for a collective about once a second, so members should share sums, not steps."""
+
+    def run(batches):
+        yield from fn(Gang(), batches)
+
+    return df.repartition(n).mapInArrow(run, schema, barrier=True)
+
+
 def multi_output(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tags: list[str], tag: str = "tag") -> dict[str, DataFrame]:
     """One pass with several outputs: ``fn`` names each row's output in column ``tag``; the frames share a cached result.
 

@@ -278,3 +278,24 @@ def checkpoint_variables(spark, d):
         state.commit()
         seen.append((iterate.Variables(spark, path).init("round", 0),))
     return spark.createDataFrame(seen, "round long")
+
+
+@register(
+    "gang_training",
+    "SELECT CAST(i AS BIGINT) AS rank, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem, (SELECT unnest(range(3)) AS i) GROUP BY i",
+)
+def gang_training(spark, d):
+    """Data-parallel least squares of price over quantity: members sum up their Arrow batches, share the sums and solve alike."""
+    import pyarrow as pa
+
+    def train(gang, batches):
+        sums = [0.0] * 5
+        for b in batches:
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k, v in enumerate((len(x), x.sum(), y.sum(), x @ x, x @ y)):
+                sums[k] += float(v)
+        n, x, y, xx, xy = (sum(v) for v in zip(*(json.loads(t) for t in gang.all_gather(json.dumps(sums))), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([gang.rank]), pa.array([int(n)]), pa.array([round((xy - x * y / n) / (xx - x * x / n), 3)])], names=["rank", "n", "slope"])
+
+    rows = t(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    return iterate.cut(compute.run_gang(rows, train, "rank long, n long, slope double", 3))
