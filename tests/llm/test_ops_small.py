@@ -806,14 +806,14 @@ def test_notices_inside_articles_go_and_quotes_stay(spark, run_pages, parts):
     notice, quote, header = (" ".join(f"{c}{j}" for j in range(20)) for c in "nqh")
     rows = []
     for i in range(24):
-        blocks = [f"own{i} " + " ".join(f"u{i}v{j}" for j in range(12)), *([quote] if i % 3 == 0 else []), *([notice] if i % 4 else []), f"end {i}"]
+        blocks = [f"own{i} " + " ".join(f"u{i}v{j}" for j in range(30)), *([quote] if i % 3 == 0 else []), *([notice] if i % 4 else []), f"end {i}"]
         rows.append((i, "http://h/", f"<div>{header}</div><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
-    rows += [(100 + i, "http://h/", f"<div>{header}</div><article><p>{notice}</p></article><i>{i}</i>") for i in range(2)]
+    rows += [(100 + i, "http://h/", f"<div>{header}</div><article><h1>short {i}</h1><p>{notice}</p></article><i>{i}</i>") for i in range(2)]
     got = {r.page_id: r for r in html_text.extract_text(pages(spark, rows).repartition(parts, "page_id"), run_pages=run_pages).collect()}
     for i in range(24):
         assert (quote in got[i].text) == (i % 3 == 0) and notice not in got[i].text and header not in got[i].text and got[i].text.endswith(f"end {i}")
         assert (got[i].n_by_repeats, got[i].n_by_marks) == (20 + 20 * (i % 4 > 0), 0)
-    assert got[100].text == got[101].text == notice  # nothing else would be left
+    assert [got[k].text for k in (100, 101)] == [f"short 0\n{notice}", f"short 1\n{notice}"]  # too little else would be left
 
 
 def test_repeated_tokens_equal_brute_force():
