@@ -53,6 +53,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Inputs of up to so many bytes are dealt out if they come in few files.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over the cluster if it is small and comes in fewer files than there are cores.
+
+    Such a file often has one row group, which a single task reads and then works on alone. Larger inputs are left as they are:
+    they have row groups for every core, and no shuffle is worth its cost. Rows and results are the same either way.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(min(cores, max(2, size >> 20)))
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

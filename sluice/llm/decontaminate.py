@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_strings, mix64, slices, small_batches, table, words
+from ._common import hash_strings, mix64, slices, small_batches, spread, table, words
 
 _STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -258,7 +258,7 @@ def contained_items(
     spark, limits = df.sparkSession, limits or Limits()
     small_batches(spark)
     schema = "doc_id long, item_id long, edits long, item_words long, end_word long"
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col))
+    rows = spread(df.select(F.col(id_col).cast("long"), F.col(text_col)))
 
     def passing(sent):
         def run(batches):
@@ -295,6 +295,7 @@ def drop_contaminated(
     spark, limits = df.sparkSession, limits or Limits()
     small_batches(spark)
     column = df.columns.index(text_col)
+    df = spread(df)
 
     def passing(sent):
         def run(batches):

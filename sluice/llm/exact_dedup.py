@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import UPPER, LOWER, ascii_lower, materialize, table
+from ._common import UPPER, LOWER, ascii_lower, materialize, spread, table
 
 
 class CuckooIndex:
@@ -170,7 +170,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = materialize(
-        df.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).select(
+        spread(df.select(id_col, text_col)).select(F.col(id_col).cast("long").alias("id"), text.alias("t")).select(
             "id", F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes")
         ),
         "dedup-digests",

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix64, slices, small_batches, table, words
+from ._common import materialize, mix64, slices, small_batches, spread, table, words
 
 ORDERS = (3, 4)
 HASHES = 3
@@ -307,7 +307,7 @@ def _finished_slices(word):
 def train(df: DataFrame, text_col: str, lang_col: str, max_bytes: int = 1 << 27) -> BitSlicedBloom | None:
     """Learn the filters from all rows with a language. To the driver: a row per language, and the table of ``max_bytes`` at most."""
     small_batches(df.sparkSession)
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
+    rows = spread(df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string")))
     counts = materialize(
         rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"
     )
@@ -358,7 +358,7 @@ def identify(
     schema = ", ".join(
         ["doc_id long, held_out boolean, lang_pred string, score double, lead double", *(f"`keep_{c}` {df.schema[c].dataType.simpleString()}" for c in keep)]
     )
-    return rows.mapInArrow(_predict_batches(sent), schema)
+    return spread(rows).mapInArrow(_predict_batches(sent), schema)
 
 
 def keep_identified(df: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

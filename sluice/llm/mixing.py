@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, table
+from ._common import WORD, materialize, spread, table
 
 BITS, STEP = 48, 12
 #: Per-source tables are broadcast up to so many sources (under 10 MB); beyond, they are shuffled.
@@ -109,7 +109,7 @@ def mix_bounds(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
 
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return materialize(
-        df.select(
+        spread(df.select(id_col, text_col, source_col)).select(
             F.col(id_col).alias("id"),
             _skey(source_col).alias("skey"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, small_batches, table, words
+from ._common import hash_strings, lower_ascii, materialize, mix64, shuffle_width, slices, small_batches, spread, table, words
 from .components import connected_components, edge_batches, forest
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -526,7 +526,7 @@ def _components(
     small_batches(spark)
     parts = shuffle_width(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = materialize(rows.mapInArrow(_announce(k, percent, parts), _PACKED), "join-packed")
+    packed = materialize(spread(rows).mapInArrow(_announce(k, percent, parts), _PACKED), "join-packed")
     sets = materialize(
         packed.where("part = -1").select("ids", "prints", "sizes", "maps").mapInArrow(_unpack_sets, "id long, print long, n long, map binary"),
         "join-sets",

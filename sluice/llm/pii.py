@@ -40,7 +40,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import materialize, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
@@ -122,9 +122,8 @@ def _by_kind(kind, values):
 
 def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, pattern, start, stop, span, before, after); a row with null pattern keeps documents without any."""
-    rows = df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("digit", F.col("text").rlike("[0-9]"))
+    own = spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = own.withColumn("row", F.monotonically_increasing_id()).withColumn("digit", F.col("text").rlike("[0-9]"))
     found = [
         F.struct(
             F.lit(k).alias("pattern"),

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import materialize, spread, table
 
 
 class CapacityTree:
@@ -184,7 +184,7 @@ def shard_groups(
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
-        df.select(
+        spread(df.select(id_col, text_col)).select(
             F.col(id_col).cast("long").alias("id"),
             F.unhex(F.sha2(text, 256)).alias("key"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
