@@ -5,27 +5,35 @@ part, or neither, and whether an ancestor is boilerplate by element or by class
 Scripts, styles and other raw elements give no text.
 
 Pages of a host with equal token streams are one content, so copies of a page
-say nothing. Contents are dealt by host and digest, so a host with a third of all
-pages is spread over partitions, and handled in runs of at most ``run_pages``
-contents of one host. A run's token streams are concatenated, with a separator
+say nothing. Contents are dealt by host and, on hosts with more than ``run_pages`` contents,
+by digest, so a host with a third of all pages is spread over partitions, and handled in runs
+of about ``run_pages`` contents of one host. A run's token streams, all tokens outside a marked
+body and all tokens inside it, are concatenated, with a separator
 of its own after each, and sorted by their first ``depth`` tokens (suffix array by
 prefix doubling). Neighbouring suffixes with the same first ``depth`` tokens are one
 window, sent on as a 64-bit hash with its number of contents; numbers are added up
 over all runs of a host. Windows on at least 3 contents of the host, and on 2 % of
 them, are its boilerplate, so neither runs nor partitions matter. Fewer contents that
-share a passage are taken for quotes of each other. Within a marked body only the first and
-last ``depth`` tokens of each block are windows, apart from all others, and they are
-boilerplate from half of the host's contents on, 5 at least, because quoted passages may
-repeat across articles and must stay. In a second pass each page is parsed again and the tokens
+share a passage are taken for quotes of each other. Windows inside marked bodies are apart from
+all others and are boilerplate from half of the host's contents on, 5 at least, because quoted
+passages may repeat across articles and must stay.
+
+Every window of a body counts, also across its blocks. What stands on half of a host's contents stands on half of
+some run's, so a run sends the body windows on half of its contents, and before sorting it cuts out tokens on fewer.
+The other runs are known to have less than half each; only where that leaves a window open are the pages of its host
+parsed once more and such windows counted in all contents. So these numbers are exact, too.
+
+In a last pass each page is parsed again and the tokens
 that these windows cover are found. A host has at most 50 times as many such windows
 as its contents have tokens on average.
 
-What is kept: the repeats decide first. Covered tokens go, and of a marked body those blocks
-that begin and end with its boilerplate windows (a notice inside the article), unless these
-are half of the body or more (copies of one article). On the unique runs the markup decides: a page that marks
-its body (``article``, ``main`` or a usual class) keeps the body's blocks whole and loses what stands
+What is kept: the repeats decide first. Covered tokens go, and of a marked body those sentences that are
+covered from end to end (a notice inside the article, in blocks of its own or not), unless these
+are half of the body or more (copies of one article); a sentence ends with its block or after a full stop, question or
+exclamation mark, and one with a word of its own stays whole. On the unique runs the markup decides: a page that marks
+its body (``article``, ``main`` or a usual class) keeps the body and loses what stands
 outside; other pages lose what stands in boilerplate elements. ``n_by_repeats`` and
-``n_by_marks`` tell how many tokens went by either.
+``n_by_marks`` tell how many tokens went by either. A repeat has ``depth`` tokens at least; shorter ones are the markup's.
 
 Defined results: null or empty html gives empty text; null urls share a host of
 their own; ids may be null or repeat; unclosed and truncated markup is read as
@@ -68,8 +76,12 @@ UNMARKED = frozenset("html body article main".split())
 BODIES = frozenset("article article-body article-content post-content post-body entry-content story-body main-content".split())
 #: A passage is boilerplate if it stands on so many distinct contents of the host, and on so many per cent of them.
 LEAST_PAGES, LEAST_PERCENT = 3, 2
-#: The same for a block of a marked body.
+#: The same inside marked bodies.
 BODY_PAGES, BODY_PERCENT = 5, 50
+#: How a sentence's last token ends.
+_STOP = re.compile(r"""[.!?\u2026\u3002\uff01\uff1f\u061f\u0964]["'\u2019\u201d\u00bb)\]]*$""")
+#: So many contents a task remembers, so as not to send them again.
+_KNOWN = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,24 +237,21 @@ def is_body(block: tuple[str, int, bool], best: int) -> bool:
     return best > 0 and block[1] == best and not block[2]
 
 
-def decide(blocks: list[tuple[str, int, bool]], split: list[list[str]], covered: np.ndarray, gone: set[int]) -> tuple[str, int, int, int]:
+def decide(blocks: list[tuple[str, int, bool]], split: list[list[str]], covered: np.ndarray, gone: np.ndarray) -> tuple[str, int, int, int]:
     """(text, tokens, of them removed by repeats, of them removed by marks).
 
-    ``covered`` tells the tokens outside a marked body that repeats cover, ``gone`` the body's blocks that they remove.
+    ``covered`` tells the tokens outside a marked body that repeats cover, ``gone`` the tokens in it that they remove.
     """
-    best, kept, at, by_repeats, by_marks = body_level(blocks), [], 0, 0, 0
-    for k, (block, w) in enumerate(zip(blocks, split, strict=True)):
-        mine, at = covered[at : at + len(w)], at + len(w)
-        if is_body(block, best):
-            if k in gone:
-                by_repeats += len(w)
-            else:
-                kept.append(block[0])
-            continue
-        repeated = int(mine.sum())
-        by_repeats += repeated
-        if best or block[2]:
+    best, kept, at, by_marks = body_level(blocks), [], 0, 0
+    by_repeats = int(covered.sum()) + int(gone.sum())
+    touched = by_repeats > 0
+    for block, w in zip(blocks, split, strict=True):
+        mine, at = (covered[at : at + len(w)] | gone[at : at + len(w)]) if touched else None, at + len(w)
+        repeated = int(mine.sum()) if touched else 0
+        if not is_body(block, best) and (best or block[2]):
             by_marks += len(w) - repeated
+        elif not repeated:
+            kept.append(block[0])
         elif repeated < len(w):
             kept.append(" ".join(x for x, c in zip(w, mine, strict=True) if not c))
     return "\n".join(kept), at, by_repeats, by_marks
@@ -253,30 +262,34 @@ def least_of(contents: int, least_pages: int = LEAST_PAGES, percent: int = LEAST
     return max(least_pages, -(-contents * percent // 100))
 
 
-def page_stream(blocks: list[tuple[str, int, bool]], split: list[list[str]], seen: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash, even and not 0, of each token; 0 for those of a marked body."""
+def page_stream(blocks: list[tuple[str, int, bool]], split: list[list[str]], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash, even and not 0, of each token; which tokens are in a marked body)."""
     best, out = body_level(blocks), []
-    for block, words in zip(blocks, split, strict=True):
-        if is_body(block, best):
-            out += [0] * len(words)
-            continue
+    for words in split:
         for w in words:
             h = seen.get(w)
             if h is None:
                 h = seen[w] = xxhash.xxh3_64_intdigest(w) & ~1 or 2
             out.append(h)
-    return np.array(out, dtype=np.uint64)
+    inside = np.repeat(np.array([is_body(b, best) for b in blocks], bool), [len(w) for w in split]) if blocks else np.zeros(0, bool)
+    return np.array(out, dtype=np.uint64), inside
+
 
+def outside_stream(stream: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The tokens outside a marked body, with a 0 for each token in it."""
+    return np.where(inside, np.uint64(0), stream)
 
-def body_ends(blocks: list[tuple[str, int, bool]], split: list[list[str]], depth: int) -> tuple[list[int], np.ndarray]:
-    """(which blocks of a marked body have ``depth`` tokens; their first and last ``depth`` tokens, each followed by a 0).
 
-    These hashes are odd, so windows of a body are never those of its surroundings.
+def _odd(short: np.ndarray) -> np.ndarray:
+    return short.astype(np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def body_stream(stream: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The tokens in a marked body, by 32 bits of their hashes each.
+
+    They are odd, so windows of a body are never those of its surroundings.
     """
-    best = body_level(blocks)
-    which = [k for k, (block, w) in enumerate(zip(blocks, split, strict=True)) if is_body(block, best) and len(w) >= depth]
-    out = [[*(xxhash.xxh3_64_intdigest(w) | 1 for w in part), 0] for k in which for part in (split[k][:depth], split[k][-depth:])]
-    return which, np.array(out, dtype=np.uint64).reshape(-1)
+    return _odd(stream[inside] >> np.uint64(32))
 
 
 def window_hashes(stream: np.ndarray, depth: int, host: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,53 +327,105 @@ def covered_tokens(stream: np.ndarray, wanted: np.ndarray, depth: int, host: int
     return _cover(np.flatnonzero(whole & (wanted[at] == hashes)), len(stream), depth)
 
 
-def repeated_blocks(which: list[int], ends: np.ndarray, wanted: np.ndarray, depth: int, host: int, split: list[list[str]], body: int) -> set[int]:
-    """The blocks that begin and end with a wanted window, unless they make up half of the body's ``body`` tokens: then the
-    pages are copies of one article."""
-    if not which or not len(wanted):
-        return set()
-    hashes = window_hashes(ends, depth, host)[0][:: depth + 1]
-    found = (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes).reshape(-1, 2).all(axis=1)
-    gone = {k for k, hit in zip(which, found.tolist(), strict=True) if hit}
-    return gone if 2 * sum(len(split[k]) for k in gone) < body else set()
+def gone_tokens(split: list[list[str]], inside: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Which tokens of the page are in a sentence of its body that is ``covered`` from end to end, none if these make up half of
+    the body: then the pages are copies of one article. ``covered`` tells it of the body's tokens only."""
+    gone = np.zeros(len(inside), bool)
+    if not covered.any():
+        return gone
+    last = np.zeros(len(inside), bool)
+    last[np.cumsum([len(w) for w in split]) - 1] = True
+    last[[k for k, w in enumerate(x for words in split for x in words) if _STOP.search(w)]] = True
+    begins = np.concatenate(([0], np.flatnonzero(last[inside])[:-1] + 1))
+    mine = np.repeat(np.logical_and.reduceat(covered, begins), np.diff(np.append(begins, len(covered))))
+    if 2 * int(mine.sum()) < len(covered):
+        gone[inside] = mine
+    return gone
 
 
 def content_digest(blocks: list[tuple[str, int, bool]]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(b[0] for b in blocks))
 
 
-def told_stream(blocks, split, stream: np.ndarray, depth: int) -> np.ndarray:
-    """What a page tells its host: the tokens outside a marked body with one 0 for each gap, then the ends of the body's blocks."""
-    said = stream != 0
-    outside = stream[said | np.concatenate(([True], said[:-1]))] if len(stream) else stream
-    return np.concatenate((outside, np.zeros(1, np.uint64), body_ends(blocks, split, depth)[1]))
+def told_stream(stream: np.ndarray, inside: np.ndarray) -> bytes:
+    """What a page tells its host: the tokens outside a marked body with one 0 for each gap, after their number, then all
+    of the body's tokens in 32 bits each."""
+    out = outside_stream(stream, inside)
+    said = out != 0
+    out = out[said | np.concatenate(([True], said[:-1]))] if len(out) else out
+    return np.uint64(len(out)).tobytes() + out.tobytes() + (stream[inside] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def untold(told: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens outside a marked body, tokens in it) of what a page told."""
+    n = int(np.frombuffer(told, np.uint64, 1)[0])
+    return np.frombuffer(told, np.uint64, n, 8), _odd(np.frombuffer(told, np.uint32, -1, 8 + 8 * n))
 
 
-def extract_page(blocks, split, stream: np.ndarray, wanted: np.ndarray, depth: int, host: int) -> tuple[str, int, int, int, int]:
-    """(main text, tokens, tokens covered by repeats, removed by repeats, removed by marks)."""
-    covered = covered_tokens(stream, wanted, depth, host)
-    which, ends = body_ends(blocks, split, depth)
-    best = body_level(blocks)
-    gone = repeated_blocks(which, ends, wanted, depth, host, split, sum(len(w) for b, w in zip(blocks, split, strict=True) if is_body(b, best)))
+def content(blocks, stream: np.ndarray, inside: np.ndarray) -> tuple[bytes, int, bytes, bytes]:
+    """(the content's digest, tokens outside a body, digest of what the page tells, what it tells). Of equal contents the one
+    with the most tokens in a body tells, which has the least second and third part."""
+    told = told_stream(stream, inside)
+    return content_digest(blocks), len(inside) - int(np.count_nonzero(inside)), xxhash.xxh3_128_digest(told), told
+
+
+def frequent_parts(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """The streams with one 0 for each gap of tokens that stand in fewer than ``least`` of them: no window with such a token
+    stands in more."""
+    if least < 2:
+        return streams
+    tokens, counts = np.unique(np.concatenate([np.unique(s) for s in streams]), return_counts=True)
+    wanted = tokens[counts >= least]
+    out = []
+    for s in streams:
+        if not len(s) or not len(wanted):
+            out.append(s[:0])
+            continue
+        said = wanted[np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)] == s
+        out.append(np.where(said, s, np.uint64(0))[said | np.concatenate(([True], said[:-1]))])
+    return out
+
+
+def run_windows(told: list[bytes], depth: int, host: int, least: int, least_body: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each window, in how many contents of a run it stands): windows outside a body on ``least`` contents, windows
+    in one on ``least_body``."""
+    outside, body = zip(*map(untold, told), strict=True)
+    found = [(*window_counts(list(outside), depth, host), least), (*window_counts(frequent_parts(list(body), least_body), depth, host), least_body)]
+    keep = [counts >= needed for _, counts, needed in found]
+    return tuple(np.concatenate([f[k][m] for f, m in zip(found, keep, strict=True)]) for k in (0, 1))
+
+
+def extract_page(blocks, split, stream: np.ndarray, inside: np.ndarray, wanted: tuple[np.ndarray, np.ndarray], depth: int, host: int) -> tuple[str, int, int, int, int]:
+    """(main text, tokens, tokens covered by repeats, removed by repeats, removed by marks).
+
+    ``wanted`` has the sorted windows outside and inside of marked bodies.
+    """
+    covered = covered_tokens(outside_stream(stream, inside), wanted[0], depth, host)
+    gone = gone_tokens(split, inside, covered_tokens(body_stream(stream, inside), wanted[1], depth, host) if len(wanted[1]) else np.zeros(0, bool))
     text, tokens, by_repeats, by_marks = decide(blocks, split, covered, gone)
-    return text, tokens, int(covered.sum()) + sum(len(split[k]) for k in gone), by_repeats, by_marks
+    return text, tokens, int(covered.sum()) + int(gone.sum()), by_repeats, by_marks
+
+
+def by_place(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted windows outside of marked bodies, sorted windows inside)."""
+    windows = np.unique(windows)
+    inside = (windows & np.uint64(1)).astype(bool)
+    return windows[~inside], windows[inside]
 
 
 def extract_run(pages: list[str], depth: int = 8) -> list[tuple[str, int, int]]:
     """(main text, tokens, tokens covered by repeats) of each page of one host."""
     parsed = [parse(p or "") for p in pages]
-    tokens = [[b[0].split(" ") for b in blocks] for blocks in parsed]
+    tokens = [_split(blocks) for blocks in parsed]
     seen: dict[str, int] = {}
     streams = [page_stream(blocks, split, seen) for blocks, split in zip(parsed, tokens, strict=True)]
-    contents: dict[bytes, tuple[int, bytes]] = {}
-    for blocks, split, stream in zip(parsed, tokens, streams, strict=True):
-        # Of equal contents the one with the most tokens in a body tells.
-        mine, key = (int(np.count_nonzero(stream)), told_stream(blocks, split, stream, depth).tobytes()), content_digest(blocks)
-        contents[key] = min(mine, contents.get(key, mine))
-    hashes, counts = window_counts([np.frombuffer(c[1], np.uint64) for c in contents.values()], depth, 0)
-    least = np.array([least_of(len(contents)), least_of(len(contents), BODY_PAGES, BODY_PERCENT)])
-    wanted = np.sort(hashes[counts >= least[(hashes & np.uint64(1)).astype(np.int64)]])
-    return [extract_page(blocks, split, stream, wanted, depth, 0)[:3] for blocks, split, stream in zip(parsed, tokens, streams, strict=True)]
+    contents: dict[bytes, tuple[int, bytes, bytes]] = {}
+    for blocks, stream in zip(parsed, streams, strict=True):
+        key, *mine = content(blocks, *stream)
+        contents[key] = min(tuple(mine), contents.get(key, tuple(mine)))
+    n = len(contents)
+    wanted = by_place(run_windows([c[2] for c in contents.values()], depth, 0, least_of(n), least_of(n, BODY_PAGES, BODY_PERCENT))[0])
+    return [extract_page(blocks, split, *stream, wanted, depth, 0)[:3] for blocks, split, stream in zip(parsed, tokens, streams, strict=True)]
 
 
 def host_hash(host: str) -> int:
@@ -371,58 +436,92 @@ def _split(blocks):
     return [b[0].split(" ") for b in blocks]
 
 
-def _streams(run_chars: int, depth: int):
-    """(host, html) in; (host, content's digest, tokens outside a body, what the page tells its host) out."""
+def _contents(run_chars: int, finish, types, names):
+    """(host, x, html) in; what ``finish(host, x, content, stream, inside)`` makes of each page out, without most copies."""
 
     def run(batches):
+        known: dict[tuple, tuple] = {}  # copies of a page would all go to one partition
         for batch in batches:
-            for part in slices(batch, 1, run_chars):
+            for part in slices(batch, 2, run_chars):
                 seen: dict[str, int] = {}
-                digests, told, streams = [], [], []
-                for page in part.column(1).to_pylist():
+                found = []
+                for host, x, page in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     blocks = parse(page or "")
-                    split = _split(blocks)
-                    stream = page_stream(blocks, split, seen)
-                    told.append(int(np.count_nonzero(stream)))
-                    streams.append(told_stream(blocks, split, stream, depth).tobytes())
-                    digests.append(content_digest(blocks))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(told, pa.int64()), pa.array(streams, pa.binary())],
-                    names=["host", "digest", "told", "stream"],
-                )
+                    stream, inside = page_stream(blocks, _split(blocks), seen)
+                    mine = content(blocks, stream, inside)
+                    if mine[1:3] >= known.get((host, mine[0]), (float("inf"),)):
+                        continue
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[host, mine[0]] = mine[1:3]
+                    found.append(finish(host, x, mine, stream, inside))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
-def _count_runs(run_pages: int, run_chars: int, depth: int):
-    """(host, stream), sorted by host, in; (host, window, in how many contents of a run) out, with a null window for all contents."""
+def _streams(run_chars: int):
+    """(host, its deals, html) in; (host, its deals, the content's deal, its digest, tokens outside a body, digest of what the
+    page tells its host, what it tells) out."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    finish = lambda host, deals, mine, stream, inside: (host, deals, int.from_bytes(mine[0][:4]) % deals, *mine)
+    return _contents(run_chars, finish, types, ["host", "deals", "deal", "digest", "told", "mark", "stream"])
+
+
+def _hits(open_windows, run_chars: int, depth: int):
+    """(host, null, html) in; (host, the content's digest, tokens outside a body, digest of what the page tells, which of the
+    body windows of ``open_windows`` it has) out."""
+
+    def finish(host, _, mine, stream, inside):
+        hashes, whole = window_hashes(body_stream(stream, inside), depth, host_hash(host))
+        return host, *mine[:3], np.intersect1d(hashes[whole], open_windows.value).view(np.int64)
 
-    def finish(host, streams):
-        hashes, counts = window_counts([np.frombuffer(s, np.uint64) for s in streams], depth, host_hash(host))
+    types = [pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return _contents(run_chars, finish, types, ["host", "digest", "told", "mark", "hits"])
+
+
+def _count_runs(run_pages: int, run_chars: int, depth: int):
+    """(host, its deals, deal, digest, stream), sorted by host, deal and digest, in; (host, window, in how many contents of a
+    run, most contents of this run that an unsent body window can have) out, with a null window for all contents."""
+
+    def finish(host, streams, whole):
+        n = len(streams)
+        # Of a host in one run the numbers are final, else body windows on half of no run can't be on half of all contents.
+        least = (least_of(n), least_of(n, BODY_PAGES, BODY_PERCENT)) if whole else (1, least_of(n, 1, BODY_PERCENT))
+        hashes, counts = run_windows(streams, depth, host_hash(host), *least)
         windows = pa.array(np.append(hashes.view(np.int64), 0), mask=np.append(np.zeros(len(hashes), bool), True))
+        slack = 0 if whole else least[1] - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array([host] * (len(hashes) + 1), pa.string()), windows, pa.array(np.append(counts, len(streams)).astype(np.int64))],
-            names=["host", "window", "n"],
+            [pa.array([host] * len(windows), pa.string()), windows, pa.array(np.append(counts, n).astype(np.int64)), pa.array([slack] * len(windows), pa.int64())],
+            names=["host", "window", "n", "slack"],
         )
 
     def run(batches):
-        last, streams, size = None, [], 0
+        last, digest, streams, size, whole = None, None, [], 0, True
         for batch in batches:
-            for host, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if streams and (host != last or len(streams) >= run_pages or size >= run_chars):
-                    yield finish(last, streams)
+            for host, deals, deal, key, stream in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (host, deal) != last:
+                    if streams:
+                        yield finish(last[0], streams, whole)
+                    last, digest, streams, size, whole = (host, deal), None, [], 0, deals == 1
+                if key == digest:
+                    continue  # a copy, and the first of equal contents tells
+                if streams and (len(streams) >= 2 * run_pages or size >= run_chars):
+                    whole = False
+                    yield finish(host, streams, whole)
                     streams, size = [], 0
-                last = host
+                digest = key
                 streams.append(stream)
                 size += len(stream)
         if streams:
-            yield finish(last, streams)
+            yield finish(last[0], streams, whole)
 
     return run
 
 
 def _extract_batches(wanted, run_chars: int, depth: int):
-    """(page_id, url, host, html) in; extracted pages out. ``wanted`` is a broadcast of sorted window hashes."""
+    """(page_id, url, host, html) in; extracted pages out. ``wanted`` is a broadcast of sorted window hashes
+    outside and inside of marked bodies."""
 
     def run(batches):
         repeats = wanted.value
@@ -433,7 +532,7 @@ def _extract_batches(wanted, run_chars: int, depth: int):
                 for host, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     blocks = parse(page or "")
                     split = _split(blocks)
-                    found.append(extract_page(blocks, split, page_stream(blocks, split, seen), repeats, depth, host_hash(host)))
+                    found.append(extract_page(blocks, split, *page_stream(blocks, split, seen), repeats, depth, host_hash(host)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -449,19 +548,46 @@ def _extract_batches(wanted, run_chars: int, depth: int):
     return run
 
 
-def host_repeats(pages: DataFrame, run_pages: int, run_chars: int, depth: int) -> DataFrame:
+def _blocks(windows: DataFrame, block_windows: int):
+    """(host, window) by blocks of hosts, of some 8 * ``block_windows`` bytes each: (what tells a block's hosts, its windows)."""
+    blocks = max(1, -(-windows.count() // block_windows))
+    block = F.pmod(F.xxhash64("host"), F.lit(blocks))
+    for k in range(blocks):
+        found = windows.where(block == k).select("window").toArrow().column(0).to_numpy()
+        yield block == k, np.unique(found.astype(np.int64).view(np.uint64))
+
+
+def host_repeats(pages: DataFrame, run_pages: int, run_chars: int, depth: int, block_windows: int) -> DataFrame:
     """(host, window): hashes of the windows of ``depth`` tokens that are boilerplate of a host, by all its distinct contents."""
-    streams = pages.mapInArrow(_streams(run_chars, depth), "host string, digest binary, told long, stream binary")
-    # Of equal contents the one with the most tokens in a body tells.
-    contents = streams.groupBy("host", "digest").agg(F.min(F.struct("told", "stream")).alias("least"))
-    runs = contents.select("host", F.col("least.stream").alias("stream")).sortWithinPartitions("host")
-    counts = runs.mapInArrow(_count_runs(run_pages, run_chars, depth), "host string, window long, n long")
-    counts = counts.groupBy("host", "window").agg(F.sum("n").alias("n")).where(F.col("window").isNull() | (F.col("n") >= LEAST_PAGES))
-    counts = materialize(counts, "html-windows")
+    spark = pages.sparkSession
+    large = pages.groupBy("host").agg(F.approx_count_distinct("html").alias("n")).where(F.col("n") > run_pages)
+    large = large.select("host", F.expr(f"(n + {run_pages - 1}) div {run_pages}").alias("deals"))
+    dealt = pages.join(F.broadcast(large), "host", "left").select("host", F.coalesce("deals", F.lit(1).cast("long")).alias("deals"), "html")
+    streams = dealt.mapInArrow(_streams(run_chars), "host string, deals long, deal long, digest binary, told long, mark binary, stream binary")
+    runs = streams.repartition("host", "deal").sortWithinPartitions("host", "deal", "digest", "told", "mark").select("host", "deals", "deal", "digest", "stream")
+    counts = runs.mapInArrow(_count_runs(run_pages, run_chars, depth), "host string, window long, n long, slack long")
+    counts = counts.groupBy("host", "window").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+    body = F.col("window").bitwiseAND(1) == 1
+    counts = materialize(counts.where(F.col("window").isNull() | body | (F.col("n") >= LEAST_PAGES)), "html-windows")
     least = lambda pages_, percent: F.greatest(F.lit(pages_), F.expr(f"(n * {percent} + 99) div 100"))
-    hosts = counts.where("window is null").select("host", least(LEAST_PAGES, LEAST_PERCENT).alias("least"), least(BODY_PAGES, BODY_PERCENT).alias("least_body"))
-    needed = F.when(F.col("window").bitwiseAND(1) == 1, F.col("least_body")).otherwise(F.col("least"))
-    return counts.where("window is not null").join(hosts, "host").where(F.col("n") >= needed).select("host", "window")
+    hosts = counts.where("window is null").select(
+        "host", least(LEAST_PAGES, LEAST_PERCENT).alias("least"), least(BODY_PAGES, BODY_PERCENT).alias("least_body"), F.col("slack").alias("all_slack")
+    )
+    counts = counts.where("window is not null").join(hosts, "host")
+    found = counts.where(F.col("n") >= F.when(body, F.col("least_body")).otherwise(F.col("least"))).select("host", "window")
+    # Body windows that runs which did not send them may still bring to half of the contents: counted in all of them.
+    rest = counts.where(body & F.expr("n < least_body and n + all_slack - slack >= least_body")).select("host", "window", "least_body")
+    rest = materialize(rest, "html-open")
+    for mine, windows in _blocks(rest, block_windows):
+        if len(windows):
+            there = pages.where(mine).join(rest.where(mine).select("host").distinct(), "host", "left_semi")
+            there = there.select("host", F.lit(None).cast("long").alias("x"), "html")
+            wanted = spark.sparkContext.broadcast(windows)
+            hits = there.mapInArrow(_hits(wanted, run_chars, depth), "host string, digest binary, told long, mark binary, hits array<long>")
+            hits = hits.groupBy("host", "digest").agg(F.min(F.struct("told", "mark", "hits")).alias("least"))
+            n = hits.select("host", F.explode("least.hits").alias("window")).groupBy("host", "window").agg(F.count("*").alias("n"))
+            found = found.unionByName(n.join(rest.where(mine), ["host", "window"]).where("n >= least_body").select("host", "window"))
+    return found
 
 
 def extract_text(
@@ -481,17 +607,13 @@ def extract_text(
     url = F.col(url_col).cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = spread(df.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html")))
-    repeats = host_repeats(rows.select("host", "html"), run_pages, run_chars, depth)
+    repeats = host_repeats(rows.select("host", "html"), run_pages, run_chars, depth, block_windows)
     repeats = materialize(repeats, "html-repeats")
-    # Repeats are broadcast by blocks of hosts, of some 8 * block_windows bytes each; a page is in one block.
-    blocks = max(1, -(-repeats.count() // block_windows))
-    block = F.pmod(F.xxhash64("host"), F.lit(blocks))
     schema = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long, n_by_repeats long, n_by_marks long"
     out = None
-    for k in range(blocks):
-        found = repeats.where(block == k).select("window").toArrow().column(0).to_numpy()
-        wanted = spark.sparkContext.broadcast(np.unique(found.astype(np.int64).view(np.uint64)))
-        part = rows.where(block == k).mapInArrow(_extract_batches(wanted, run_chars, depth), schema)
+    for mine, windows in _blocks(repeats, block_windows):
+        wanted = spark.sparkContext.broadcast(by_place(windows))
+        part = rows.where(mine).mapInArrow(_extract_batches(wanted, run_chars, depth), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -816,6 +816,48 @@ def test_notices_inside_articles_go_and_quotes_stay(spark, run_pages, parts):
     assert [got[k].text for k in (100, 101)] == [f"short 0\n{notice}", f"short 1\n{notice}"]  # too little else would be left
 
 
+@pytest.mark.parametrize("run_pages", [1, 7, 512])
+def test_every_window_of_an_article_counts(spark, run_pages):
+    opening, notice, closing = (" ".join(f"{c}{j}" for j in range(9)) + "." for c in "onc")
+    short = ["Sign up here", "for our daily letter", "it costs you nothing"]  # a passage of 11 tokens in blocks below 8
+    rows, want = [], {}
+    for i in range(30):
+        own = [" ".join(f"b{k}u{i}v{j}" for j in range(40)) + "." for k in range(4)]
+        said = [f"{opening} {own[0]} {closing}", f"{own[1]} {notice} {own[2]}", *short, own[3]]
+        rows.append((i, "http://h/", "<article>" + "".join(f"<p>{b}</p>" for b in said) + "</article>"))
+        want[i] = f"{own[0]}\n{own[1]} {own[2]}\n{own[3]}"
+    got = {r.page_id: r for r in html_text.extract_text(pages(spark, rows).repartition(3), run_pages=run_pages).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all((r.n_repeated, r.n_by_repeats, r.n_by_marks) == (38, 38, 0) for r in got.values())
+
+
+@pytest.mark.parametrize("run_pages, block_windows", [(3, 10), (6, 1 << 20), (10, 1), (512, 1 << 20)])
+def test_windows_of_articles_are_counted_exactly_over_runs(spark, run_pages, block_windows):
+    half, less = (" ".join(f"{c}{j}" for j in range(10)) for c in "hl")
+    rows, n = [], 40
+    for i in range(n):
+        blocks = [" ".join(f"u{i}v{j}" for j in range(60)), *([half] if i % 2 else []), *([less] if i < n // 2 - 1 else [])]
+        copies = 1 + 3 * (i % 5 == 0)  # copies say nothing
+        rows += [(i, f"http://{h}/", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") for h in "ab" for _ in range(copies)]
+    got = html_text.extract_text(pages(spark, rows).repartition(4), run_pages=run_pages, block_windows=block_windows).collect()
+    assert len(got) == len(rows)
+    assert all(half not in r.text and (less in r.text) == (r.page_id < n // 2 - 1) for r in got)
+
+
+def test_cutting_out_rare_tokens_loses_no_frequent_window():
+    rng = np.random.default_rng(3)
+    for least in (1, 2, 5, 8):
+        streams = [html_text._odd(rng.choice(12, rng.integers(0, 60), p=np.arange(12, 0, -1) / 78).astype(np.uint32)) for _ in range(10)]
+        want = {}
+        for s in streams:
+            for gram in {tuple(s[j : j + 3].tolist()) for j in range(len(s) - 2)}:
+                want[gram] = want.get(gram, 0) + 1
+        hashes, counts = html_text.window_counts(html_text.frequent_parts(streams, least), 3, 5)
+        got = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+        key = lambda gram: int(html_text.window_hashes(np.array(gram, np.uint64), 3, 5)[0][0])
+        assert {key(g): c for g, c in want.items() if c >= least} == {h: c for h, c in got.items() if c >= least}
+
+
 def test_repeated_tokens_equal_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(30):
