@@ -35,6 +35,30 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int, how: str
     return l.join(r, [on, "__salt"], TYPES[how]).drop("__salt")
 
 
+def many_to_many_join(left: DataFrame, right: DataFrame, on: list[str] | str, block: int = 1024, pairs_per_task: int = 4_000_000) -> DataFrame:
+    """An inner join of keys with many rows on both sides, dealt out by its pairs: a key is a grid of blocks, of about ``block`` rows of either side.
+
+    Adaptive execution sizes partitions by what goes into a join, and so may leave few tasks with all that comes out of it.
+    Each row is sent once per block of the other side, so the shuffle has two rows for ``block`` pairs. The rows of each key
+    are counted first, and their pairs' number, one row, sets how many tasks there are. Equal rows of a side share a block.
+    """
+    on = [on] if isinstance(on, str) else on
+    sides = [df.select(*on, F.lit(k == 0).cast("long").alias("__l"), F.lit(k == 1).cast("long").alias("__r")) for k, df in enumerate((left, right))]
+    sizes = sides[0].unionAll(sides[1]).dropna(subset=on).groupBy(*on).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r")).where("__l > 0 AND __r > 0")
+    pairs = sizes.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0
+    tasks = int(min(max(pairs / pairs_per_task, left.sparkSession.sparkContext.defaultParallelism), 10_000))
+    grid = sizes.select(*on, F.ceil(F.col("__l") / block).alias("__down"), F.ceil(F.col("__r") / block).alias("__across"))
+
+    def dealt(df, own, others, own_blocks, other_blocks):
+        placed = df.join(grid, on).withColumn(own, F.pmod(F.xxhash64(*df.columns), own_blocks))
+        sent = placed.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1))).drop("__down", "__across")
+        return sent.repartition(tasks, *on, "__row", "__column")
+
+    l = dealt(left, "__row", "__column", F.col("__down"), "__across")  # noqa: E741
+    r = dealt(right, "__column", "__row", F.col("__across"), "__down")
+    return l.join(r, [*on, "__row", "__column"]).drop("__row", "__column")
+
+
 def side_input(df: DataFrame, small: DataFrame, limit_rows: int = 100_000) -> DataFrame:
     """Every row of ``df`` with every row of a side input, whose size is checked before it is broadcast."""
     n = small.limit(limit_rows + 1).count()

@@ -275,7 +275,7 @@ def join_salted(spark, d):
 @register("join_many_to_many", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def join_many_to_many(spark, d):
     s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    return joins.join(s, t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey"), "k").drop("k")
+    return joins.many_to_many_join(s, t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey"), "k").drop("k")
 
 
 @register("row_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import arrays, udf
 from sluice.operators import aggregate, compute, joins, movement, sorting, windows
-from sluice.plans import graph, iterate, ml
+from sluice.plans import catalog, graph, iterate, ml
 from sluice.sources import custom, files, sinks
 
 
@@ -60,6 +60,21 @@ def test_salted_right_join_is_refused(staff):
         joins.salted_join(*staff, "key", 2, "right")
 
 
+def test_many_to_many_join_is_dealt_out_by_its_pairs(spark, tmp_path):
+    left = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0), (None, 1), (3, 7)], "k long, l long")
+    right = spark.createDataFrame([(1, i) for i in range(70)] + [(2, 5), (2, 6), (None, 2), (4, 8)], "k long, r long")
+    out = joins.many_to_many_join(left, right, "k", block=16, pairs_per_task=500)
+    assert out.columns == ["k", "l", "r"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joins.join(left, right, "k").collect()))
+    assert joins.many_to_many_join(left.where("false"), right, "k").count() == 0
+    # One key's pairs don't stay in one task.
+    spark.range(3000).select(F.col("id").alias("s_suppkey"), F.lit(5).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(3000).select(F.col("id").alias("c_custkey"), F.lit(5).alias("c_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    pairs = catalog.queries()["join_many_to_many"](spark, str(tmp_path))
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 9_000_000 and max(shares) < 6_000_000, shares
+
+
 def test_side_input_checks_its_size(spark):
     with pytest.raises(ValueError):
         joins.side_input(spark.range(3), spark.range(5).toDF("x"), 4)
