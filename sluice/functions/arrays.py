@@ -40,6 +40,12 @@ def array_fold(a, start: Column, step) -> Column:
     return F.aggregate(F.col(a) if isinstance(a, str) else a, start, step)
 
 
+def rounded(a, factor: int) -> Column:
+    """Elements times a whole number, rounded half away from zero. The product has the elements' type: Spark's own rules would
+    take floats to doubles, which fall on the other side of a half where the float's product is rounded onto it."""
+    return F.transform(F.col(a) if isinstance(a, str) else a, lambda x: F.round(x * F.lit(factor).cast("float")))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(array_multiply(a, b), F.lit(0.0), lambda s, x: s + x)
 

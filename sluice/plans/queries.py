@@ -362,7 +362,7 @@ def division(spark, d):
     "(SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label",
 )
 def array_reduce_sum(spark, d):
-    whole = t(spark, d, "embeddings").select("label", F.transform("embedding", lambda x: F.round(x * 1000).cast("long")).alias("v"))
+    whole = t(spark, d, "embeddings").select("label", arrays.rounded("embedding", 1000).cast("array<long>").alias("v"))
     return agg.array_reduce(whole, "v", "sum", ["label"]).select("label", F.array_join(F.col("reduced").cast("array<string>"), ",").alias("sums"))
 
 
@@ -670,7 +670,7 @@ def word_count(spark, d):
 )
 def kmeans_step(spark, d):
     """One step over whole vectors from the first four of them; a row per cluster and dimension."""
-    points = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v * 1000).cast("double")).alias("x"))
+    points = t(spark, d, "embeddings").select("vec_id", arrays.rounded("embedding", 1000).cast("array<double>").alias("x"))
     centroids = points.where("vec_id < 4").select(F.col("vec_id").alias("cluster"), F.col("x").alias("c"))
     return ml.kmeans_step(points, centroids).select("cluster", F.posexplode("c").alias("at", "v")).withColumn("v", F.round("v", 6))
 

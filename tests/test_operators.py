@@ -110,6 +110,24 @@ def test_array_reduction(spark):
         uneven.select(arrays.array_add("v", F.array(F.lit(1)))).collect()
 
 
+def test_floats_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    near = [[(rng.randrange(-4000, 4000) + 0.5) / 1000 for _ in range(64)] for _ in range(200)]  # times 1000, at a half or next to one
+    for kind in ("float", "double"):
+        where = f"{tmp_path}/{kind}"
+        frame = spark.createDataFrame([(i, v, i % 10) for i, v in enumerate(near)], f"vec_id long, embedding array<{kind}>, label int")
+        frame.coalesce(1).write.parquet(f"{where}/embeddings.parquet")
+        with duckdb.connect() as sql:
+            sql.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{where}/embeddings.parquet/*.parquet'")
+            for name in ("array_reduce_sum", "kmeans_step"):
+                query = catalog.queries()[name](spark, where)
+                columns = ", ".join(f'"{c}"' for c in query.columns)
+                want = sql.execute(f"SELECT {columns} FROM ({catalog.oracle_sql()[name]})").fetchall()
+                assert rows(query) == sorted(want, key=repr), (kind, name)
+
+
 def test_array_keys_compare_by_content(spark):
     df = spark.createDataFrame([([1, 2], 1), ([1, 2], 2), ([2], 3)], "k array<int>, v int")
     assert rows(aggregate.keyed_reduce(df, ["k"], s=("sum", "v"))) == [([1, 2], 3), ([2], 3)]
