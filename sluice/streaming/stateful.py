@@ -12,11 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.time import micros
+from .flows import for_each_batch
 
 
 def _ordered(frames, order: list[str]) -> pd.DataFrame:
@@ -143,7 +146,7 @@ def rounds(
     Without ``fold`` a gather, (round, values) with the values in the order of ``sources``; with it a reduction,
     (round, value). ``copies`` > 1 sends each round to that many receivers, as the all- forms do. Where the sources number
     their own rows, name that column in ``number``: rounds are then handled apart, by as many tasks as there are partitions,
-    and a round's state ends with it. Without it only one task can tell which row is whose r-th.
+    and a round's state ends with it. Without it one task sees the stream, and holds each batch: ``write_rounds`` deals that out.
     """
     df, of = _typed(df, value)
     read = _values(of)
@@ -192,6 +195,68 @@ def rounds(
     return out if copies == 1 else out.withColumn("receiver", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
+def write_rounds(
+    df: DataFrame, source: str, sources: list, value: str, where: str, seq: str = "seq", fold: Callable | None = None, copies: int = 1, once: bool = True
+) -> tuple[StreamingQuery, str]:
+    """``rounds`` of sources that don't number their rows, written batch by batch under ``where``: the query, and the glob of its files.
+
+    A batch is range-partitioned by (source, ``seq``) and written once with each row's place in its partition; a row of counts
+    per partition and source turns places into rounds, which go on from the batch before. No task sees a whole source, and
+    Python, which only folds, holds an Arrow batch. Between batches there are a count per source, which is how far complete
+    rounds go, and the rows beyond. A batch that is run again after a failure replaces its own folders.
+    """
+    kind = df.schema[value].dataType.simpleString()
+    schema = (f"round long, values array<{kind}>" if fold is None else f"round long, value {kind}") + (", receiver int" if copies > 1 else "")
+    known = F.array_position(F.array(*[F.lit(s).cast(df.schema[source].dataType) for s in sources]), F.col(source))
+    place = F.when(known > 0, known - 1).otherwise(F.raise_error(F.concat(F.lit("a row of no known source: "), F.coalesce(F.col(source).cast("string"), F.lit("null")))))
+    got = [f"__{i}" for i in range(len(sources))]
+
+    def folded(batches):
+        for batch in batches:
+            totals = []
+            for first, *others in zip(*[batch.column(name).to_pylist() for name in got], strict=True):
+                for x in others:
+                    first = fold(first, x)
+                totals.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(totals, batch.column(got[0]).type)], ["round", "value"])
+
+    def step(batch, at):
+        spark = batch.sparkSession
+        waiting = f"place int, round long, value {kind}"
+        before, rows = [0] * len(sources), None
+        if at > 0:
+            before = spark.read.schema("counts array<long>").parquet(f"{where}/counts/{at - 1}").first()[0]
+            rows = spark.read.schema(waiting).parquet(f"{where}/waiting/{at - 1}")
+        order = [F.col("place"), F.col("seq").asc_nulls_last()]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = batch.select(place.cast("int").alias("place"), F.col(seq).alias("seq"), F.col(value).alias("value"))
+        placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+        placed.drop("seq").write.mode("overwrite").parquet(f"{where}/placed/{at}")
+        placed = spark.read.schema(f"place int, value {kind}, id long").parquet(f"{where}/placed/{at}").withColumn("part", F.shiftright("id", 33))
+        shifts, counts = [], list(before)
+        for i, part, first, n in sorted(map(tuple, placed.groupBy("place", "part").agg(F.min("id"), F.count("*")).collect())):
+            shifts.append((i, part, counts[i] - first))
+            counts[i] += n
+        numbered = placed.join(F.broadcast(spark.createDataFrame(shifts, "place int, part long, shift long")), ["place", "part"])
+        numbered = numbered.select("place", (F.col("id") + F.col("shift")).alias("round"), "value")
+        rows, done = numbered if rows is None else rows.unionAll(numbered), min(counts)
+        by_round = rows.where(F.col("round") < done).groupBy("round").agg(*[F.first(F.when(F.col("place") == i, F.col("value")), True).alias(name) for i, name in enumerate(got)])
+        out = by_round.select("round", F.array(*got).alias("values")) if fold is None else by_round.mapInArrow(folded, f"round long, value {kind}")
+        out = out if copies == 1 else out.withColumn("receiver", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        out.write.mode("overwrite").parquet(f"{where}/rounds/{at}")
+        rows.where(F.col("round") >= done).write.mode("overwrite").parquet(f"{where}/waiting/{at}")
+        spark.createDataFrame([(counts,)], "counts array<long>").write.mode("overwrite").parquet(f"{where}/counts/{at}")
+        shed(spark, f"placed/{at}", f"waiting/{at - 2}", f"counts/{at - 2}")
+
+    def shed(spark, *folders):
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{folder}")
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    df.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{where}/rounds/none")  # a stream without rows has no batch
+    return for_each_batch(df, step, f"{where}/state", once=once), f"{where}/rounds/*"
+
+
 def keyed_gather(df: DataFrame, key: str, value: str, limit: int, seq: str = "seq") -> DataFrame:
     """(key, part, values): a key's values in order, handed on whenever there are ``limit`` of them, so state stays below that."""
     df, of = _typed(df, value, seq)

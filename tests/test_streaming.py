@@ -183,6 +183,50 @@ def test_numbered_rounds_run_apart(spark, tmp_path):
     assert sorted(feed.drain(out())) == [(0, ["a", "b", "c"]), (1, ["w", "x", "y"])]
 
 
+@pytest.mark.parametrize("fold", [False, True])
+def test_unnumbered_rounds_are_numbered_over_many_tasks(spark, tmp_path, fold):
+    feed = Feed(spark, tmp_path, "source string, value string, seq long")
+
+    def drain(stream=None, **more):
+        add = (lambda a, b: f"{a}{b}") if fold else None
+        query, found = stateful.write_rounds(feed.stream() if stream is None else stream, "source", ["b", "a"], "value", f"{tmp_path}/rounds", fold=add, **more)
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(found).collect())
+
+    def want(n):  # b's row r with a's
+        pairs = [(f"b{r}" if r != 3 else None, f"a{r}") for r in range(n)]
+        return [(r, f"{b}{a}" if fold else [b, a]) for r, (b, a) in enumerate(pairs)]
+
+    rows = {s: [(s, None if (s, i) == ("b", 3) else f"{s}{i}", i) for i in range(500)] for s in "ab"}
+    feed.add(rows["b"][:2][::-1])
+    assert drain() == []
+    feed.add([*rows["a"][:300][::-1], *rows["b"][2:5]])
+    assert drain() == want(5)
+    feed.add(rows["b"][5:500][::-1])
+    parts = spark.read.parquet(f"{tmp_path}/rounds/rounds/1").count()
+    assert drain() == want(300) and parts == 5
+    feed.add(rows["a"][300:])
+    with pytest.raises(Exception, match="no room"):
+        drain(feed.stream().withColumn("value", F.when(F.col("source") == "a", F.raise_error(F.lit("no room"))).otherwise(F.col("value"))))
+    assert drain() == want(500)  # the batch that failed is run again
+    feed.add([("z", "?", 0)])
+    with pytest.raises(Exception, match="no known source"):
+        drain()
+
+
+def test_queries_of_unnumbered_rounds_leave_no_task_with_a_source(spark, tmp_path):
+    from sluice.plans import catalog
+
+    spark.range(30_000).select(F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("stream_rounds",):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = catalog.queries()[name](spark, str(tmp_path))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+        tasks = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        assert sum(tasks) == 10_000 and max(tasks) < 5_000, (name, tasks)
+
+
 def test_a_window_before_the_first_row_may_fill_later(spark, tmp_path):
     feed = Feed(spark, tmp_path, "ms long, seq long, v string")
     out = lambda: stateful.event_windows(feed.stream().withColumn("ts", F.timestamp_millis("ms")), "ts", "v", lag_us=20_000, length_us=10_000, slide_us=10_000)
