@@ -865,8 +865,8 @@ def stream_keyed_gather(spark, d):
 )
 def stream_gather_rounds(spark, d):
     stream = _stream(spark, d, [(F.col("event_id") % 3).alias("source"), "event_id"]).withColumn("seq", F.col("event_id"))
-    out = _drained(spark, stateful.rounds(stream, "source", [0, 1, 2], "event_id"), "stream-gather-rounds")
-    return out.select("round", F.array_join(F.col("values").cast("array<bigint>").cast("array<string>"), ",").alias("ids"))
+    out = _rounds(spark, stream, "stream-gather-rounds")
+    return out.select("round", F.array_join(F.col("values").cast("array<string>"), ",").alias("ids"))
 
 
 @register(

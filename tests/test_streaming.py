@@ -219,7 +219,7 @@ def test_queries_of_unnumbered_rounds_leave_no_task_with_a_source(spark, tmp_pat
 
     spark.range(30_000).select(F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    for name in ("stream_rounds",):
+    for name in ("stream_rounds", "stream_gather_rounds"):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         out = catalog.queries()[name](spark, str(tmp_path))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
