@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,10 @@ from ..functions.time import micros
 from .flows import for_each_batch
 
 
+#: Numbered rounds share a state with the others of their block, 2 to this power: a call of Python and a state each would cost far more than a round.
+_BLOCK_BITS = 10
+
+
 def _ordered(frames, order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
@@ -145,8 +150,8 @@ def rounds(
 
     Without ``fold`` a gather, (round, values) with the values in the order of ``sources``; with it a reduction,
     (round, value). ``copies`` > 1 sends each round to that many receivers, as the all- forms do. Where the sources number
-    their own rows, name that column in ``number``: rounds are then handled apart, by as many tasks as there are partitions,
-    and a round's state ends with it. Without it one task sees the stream, and holds each batch: ``write_rounds`` deals that out.
+    their own rows, name that column in ``number``: blocks of 1024 rounds are then handled apart, by as many tasks as there are
+    partitions, and a round's part of the state ends with it. Without it one task sees the stream, and holds each batch: ``write_rounds`` deals that out.
     """
     df, of = _typed(df, value)
     read = _values(of)
@@ -163,20 +168,28 @@ def rounds(
     columns = ["round", "values" if fold is None else "value"]
     if number is not None:
 
-        def one_round(k, frames, state):
-            got, places = state.get if state.exists else ([], [])
-            got, places = _plain(got), _plain(places)
+        def block_of_rounds(k, frames, state):
+            held = state.get if state.exists else ([], [], [])
             rows = pd.concat(list(frames))
-            got, places = got + read(rows["__value"]), places + [sources.index(s) for s in rows[source]]
-            if len(set(places)) < len(sources):
-                state.update((got, places))
-                return
-            if state.exists:
+            at = np.array([*_plain(held[0]), *map(int, rows["__round"])], dtype="int64")
+            place = np.array([*_plain(held[1]), *(places[s] for s in rows[source])], dtype="int64")
+            got = [*_plain(held[2]), *read(rows["__value"])]
+            order = np.lexsort((place, at))  # stable: of a source's rows of a round the one that came first counts
+            by_at, by_place = at[order], place[order]
+            first = np.r_[True, (by_at[1:] != by_at[:-1]) | (by_place[1:] != by_place[:-1])]
+            numbers, counts = np.unique(by_at[first], return_counts=True)
+            whole = numbers[counts == len(sources)]
+            taken = order[first][np.isin(by_at[first], whole)].reshape(-1, len(sources))
+            rest = np.flatnonzero(~np.isin(at, whole))
+            if len(rest):
+                state.update((at[rest].tolist(), place[rest].tolist(), [got[i] for i in rest]))
+            elif state.exists:
                 state.remove()
-            yield pd.DataFrame([result(int(k[0]), [got[places.index(i)] for i in range(len(sources))])], columns=columns)
+            yield pd.DataFrame([result(int(n), [got[i] for i in of_round]) for n, of_round in zip(whole, taken, strict=True)], columns=columns, dtype=object)
 
-        rows = df.select(F.col(number).cast("long").alias("__round"), source, "__value").groupBy("__round")
-        out = rows.applyInPandasWithState(one_round, schema, f"got array<{of}>, places array<int>", "append", GroupStateTimeout.NoTimeout)
+        places = {s: i for i, s in enumerate(sources)}
+        rows = df.select(F.col(number).cast("long").alias("__round"), source, "__value").withColumn("__block", F.shiftright("__round", _BLOCK_BITS)).groupBy("__block")
+        out = rows.applyInPandasWithState(block_of_rounds, schema, f"at array<long>, place array<int>, got array<{of}>", "append", GroupStateTimeout.NoTimeout)
     else:
 
         def step(k, frames, state):

@@ -183,6 +183,32 @@ def test_numbered_rounds_run_apart(spark, tmp_path):
     assert sorted(feed.drain(out())) == [(0, ["a", "b", "c"]), (1, ["w", "x", "y"])]
 
 
+@pytest.mark.parametrize("fold", [False, True])
+def test_numbered_rounds_share_the_state_of_their_block(spark, tmp_path, fold):
+    big, rounds = 2**53 + 1, range(-5, 3000)
+    feed = Feed(spark, tmp_path, "source string, number long, value long")
+    last = lambda a, b: b
+
+    def drain():
+        out = stateful.rounds(feed.stream(), "source", ["x", "y", "z"], "value", number="number", fold=last if fold else None)
+        query = flows.start(out, "parquet", f"{tmp_path}/state", path=f"{tmp_path}/out")
+        query.awaitTermination()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        return sorted((tuple(r) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()), key=lambda r: r[0]), held
+
+    value = lambda s, r: None if (s, r % 7) == ("z", 0) else big + r * 3 + "xyz".index(s)
+    want = lambda found: [(r, value("z", r) if fold else [value(s, r) for s in "xyz"]) for r in found]
+    feed.add([(s, r, value(s, r)) for s in "zx" for r in rounds])
+    got, held = drain()
+    assert got == [] and 1 <= held <= 4
+    feed.add([("y", r, value("y", r)) for r in rounds if r % 2] + [("x", r, 0) for r in rounds])  # a source's second row of a round doesn't count
+    got, held = drain()
+    assert got == want(r for r in rounds if r % 2) and 1 <= held <= 4
+    feed.add([("y", r, value("y", r)) for r in rounds if r % 2 == 0])
+    got, held = drain()
+    assert got == want(rounds) and held == 0
+
+
 @pytest.mark.parametrize("fold", [False, True])
 def test_unnumbered_rounds_are_numbered_over_many_tasks(spark, tmp_path, fold):
     feed = Feed(spark, tmp_path, "source string, value string, seq long")
