@@ -240,6 +240,18 @@ def test_unnumbered_rounds_are_numbered_over_many_tasks(spark, tmp_path, fold):
         drain()
 
 
+def test_all_reduce_and_all_gather_hold_blocks_of_rounds(spark, tmp_path, monkeypatch):
+    from sluice.plans import catalog
+
+    spark.range(6_000).select(F.expr("id div 2 * 3 + id % 2").alias("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")  # the third source is late
+    held, start = [], flows.start
+    monkeypatch.setattr(flows, "start", lambda *a, **k: held.append(start(*a, **k)) or held[-1])
+    for name in ("stream_all_reduce", "stream_all_gather"):
+        held.clear()
+        assert catalog.queries()[name](spark, str(tmp_path)).count() == 0
+        assert 1 <= held[-1].lastProgress["stateOperators"][0]["numRowsTotal"] <= 3, name
+
+
 def test_queries_of_unnumbered_rounds_leave_no_task_with_a_source(spark, tmp_path):
     from sluice.plans import catalog
 
