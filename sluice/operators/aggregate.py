@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Built-in reductions. Spark combines before the shuffle for each of them.
 OPS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count, "avg": F.avg}
@@ -68,10 +71,34 @@ def keyed_gather_ungrouped(df: DataFrame, keys: list[str], order: list[str] | No
 
 
 def keyed_apply(df: DataFrame, keys: list[str], fn, schema) -> DataFrame:
-    """An opaque function over each key's rows as a pandas frame."""
+    """An opaque function over each key's rows as a pandas frame: a cost of milliseconds a key, so for few large groups."""
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def keyed_process(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """An opaque function over each key's rows, for many small groups: ``fn(key, rows)`` yields rows; all are tuples.
+
+    Groups are gathered in the JVM and reach Python by Arrow batches of many, where ``keyed_apply`` makes a frame for each.
+    A key's rows, in no stated order, must fit a row.
+    """
+    values = [c for c in df.columns if c not in keys]
+    kinds = StructType.fromDDL(schema)
+
+    def run(batches):
+        arrow = to_arrow_schema(kinds)
+        for batch in batches:
+            held = batch.column(len(keys))
+            opened, ends = held.flatten(), held.offsets.to_pylist()
+            columns = [opened.field(i).to_pylist() for i in range(len(values))]
+            rows, out, base = list(zip(*columns, strict=True)), [], ends[0]
+            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True)):
+                out.extend(fn(key, rows[ends[i] - base : ends[i + 1] - base]))
+            turned = list(zip(*out, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(turned, arrow, strict=True)], schema=arrow)
+
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("__rows")).mapInArrow(run, kinds)
+
+
 def array_reduce(df: DataFrame, value: str, op: str = "sum", keys: list[str] | None = None, name: str = "reduced") -> DataFrame:
     """Element-wise reduction of equally long arrays, over all rows or by key.
 

@@ -526,12 +526,14 @@ def window_reduce_fold(spark, d):
 def window_process(spark, d):
     rows = windows.tumbling_count(t(spark, d, "events"), 4, ["ts", "event_id"], ["user_id"]).select("user_id", "window_id", "value")
 
-    def spread(frame):
-        out = frame.iloc[:1][["user_id", "window_id"]].copy()
-        out["spread"] = frame["value"].max() - frame["value"].min()
-        return out
-
-    return agg.keyed_apply(rows, ["user_id", "window_id"], spread, "user_id long, window_id long, spread double")
+    def spread(key, rows):
+        """As in SQL: nulls don't count, and NaN is above all numbers."""
+        values = [v for (v,) in rows if v is not None]
+        numbers = [v for v in values if v == v]
+        top = max(numbers) if len(numbers) == len(values) and values else float("nan")
+        yield *key, top - min(numbers, default=top) if values else None
+
+    return agg.keyed_process(rows, ["user_id", "window_id"], spread, "user_id long, window_id long, spread double")
 
 
 _DAY = 86_400_000_000

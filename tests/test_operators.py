@@ -128,6 +128,33 @@ def test_floats_are_rounded_as_in_sql(spark, tmp_path):
                 assert rows(query) == sorted(want, key=repr), (kind, name)
 
 
+def test_small_groups_reach_python_many_at_once(spark, tmp_path):
+    import duckdb
+
+    pairs = spark.createDataFrame([(k, n, f"{k}{n}") for k in ("a", "b", None) for n in range(3)] + [("c", 0, None)], "k string, n int, t string")
+
+    def both(key, group):
+        yield *key, len(group), sorted(t for _, t in group if t)
+        if key[0] == "a":
+            yield None, sum(n for n, _ in group), None
+
+    out = aggregate.keyed_process(pairs.select("t", "k", "n").select("n", "t", "k"), ["k"], both, "k string, n long, ts array<string>")
+    assert rows(out) == sorted([("a", 3, ["a0", "a1", "a2"]), (None, 3, None), ("b", 3, ["b0", "b1", "b2"]), (None, 3, ["None0", "None1", "None2"]), ("c", 1, [])], key=repr)
+    assert rows(aggregate.keyed_process(pairs.where("false"), ["k"], both, "k string, n long, ts array<string>")) == []
+
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    events = [(i, i // 7, i % 5, odd[i // 40 % 4] if rng.random() < (1.0 if i % 5 == 4 else 0.3) else rng.random()) for i in range(3000)]
+    frame = spark.createDataFrame(events, "event_id long, s long, user_id long, value double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    frame.drop("s").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    query = catalog.queries()["window_process"](spark, str(tmp_path))
+    assert "InPandas" not in query._jdf.queryExecution().toString()  # a frame of pandas for each window
+    with duckdb.connect() as sql:
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = sql.execute(catalog.oracle_sql()["window_process"]).fetchall()
+    assert sorted(map(repr, map(tuple, query.collect()))) == sorted(map(repr, want)) and len(want) == 750
+
+
 def test_array_keys_compare_by_content(spark):
     df = spark.createDataFrame([([1, 2], 1), ([1, 2], 2), ([2], 3)], "k array<int>, v int")
     assert rows(aggregate.keyed_reduce(df, ["k"], s=("sum", "v"))) == [([1, 2], 3), ([2], 3)]
